@@ -1,6 +1,6 @@
 """All registered queries; importing the package registers them."""
 
 from crosstide.catalog.registry import ENTRIES, Entry
-from crosstide.catalog import q_features  # noqa: F401
+from crosstide.catalog import q_features, q_signals  # noqa: F401
 
 __all__ = ["ENTRIES", "Entry"]

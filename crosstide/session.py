@@ -22,7 +22,12 @@ def build_session(app: str = "crosstide", master: str | None = None, partitions:
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false")
+        b = (
+            b.master(master)
+            .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
+            .config("spark.driver.memory", "12g")
+        )
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.getOrCreate()
