@@ -227,9 +227,9 @@ def _(spark, d):
     "rolling_beta_by_date",
     "W-13 J-02",
     with_parts(
-        f"""SELECT ticker, date, {r8s('''CASE WHEN count(x) OVER f = 60 AND count(y) OVER f = 60 THEN covar_samp(x, y) OVER f / nullif(var_samp(y) OVER f, 0) END''', 7)} AS beta
-FROM (SELECT ticker, date, {ret_sql(1)} AS x, {ret_sql(1, 'm')} AS y
-  FROM (SELECT b.ticker, b.date, b.close, r.close AS m FROM bars b JOIN region_bars r ON r.date = b.date AND r.ticker = 'ASIA') {W})
+        f"""SELECT ticker, date, {r8s("CASE WHEN count(x) OVER f = 60 THEN covar_samp(x, y) OVER f / nullif(var_samp(y) OVER f, 0) END", 7)} AS beta
+FROM (SELECT b.ticker, b.date, b.x, m.y FROM (SELECT ticker, date, {ret_sql(1)} AS x FROM bars {W}) b
+  JOIN (SELECT date, {ret_sql(1)} AS y FROM region_bars WHERE ticker = 'ASIA' {W}) m USING (date) WHERE x IS NOT NULL AND y IS NOT NULL)
 WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""",
         "bars",
         "region_bars",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crosstide.catalog import inputs as inp
+from crosstide.catalog import q_features  # noqa: F401  (defines shared SQL parts)
 from crosstide.catalog.registry import query, r8
 from crosstide.catalog.sqlparts import W, part, r8s, ret_sql, with_parts
 from crosstide.operators import features as ft

@@ -167,21 +167,18 @@ def with_beta(
 
     position  the k-th latest ticker return is paired with the k-th latest market
               return at that date, whatever their own dates (needs n+1 prices each)
-    date      only dates on which both trade are used, on the returns of the series
-              restricted to those dates
+    date      each side's own one-row returns, paired on the dates both have one; only
+              such dates are returned
 
     ``market`` has columns date, adj_close (one row per trading day).
     """
     if align == "date":
         f = frame(-(n - 1), 0)
-        both = (
-            bars.join(market.select("date", F.col(PRICE).alias("_m")), "date")
-            .withColumn("_x", ret(1))
-            .withColumn("_y", ret(1, "_m"))
-        )
+        own = bars.withColumn("_x", ret(1)).filter(F.col("_x").isNotNull())
+        m = market.withColumn("ticker", F.lit("m")).select("date", ret(1).alias("_y")).filter(F.col("_y").isNotNull())
+        both = own.join(m, "date")
         beta = ratio(F.covar_samp("_x", "_y").over(f), F.var_samp("_y").over(f))
-        full = (F.count("_x").over(f) == n) & (F.count("_y").over(f) == n)
-        return both.withColumn(out, F.when(full, beta)).drop("_m", "_x", "_y")
+        return both.withColumn(out, F.when(F.count("_x").over(f) == n, beta)).drop("_x", "_y")
     if align != "position":
         raise ValueError(f"unknown alignment {align!r}")
     from crosstide.operators.asof import asof_join

@@ -128,7 +128,7 @@ def research_regime(r: Column) -> Column:
         .when(r >= -0.02, "FLAT")
         .when(r > -0.05, "MILD_PULLBACK")
         .when(r >= -0.15, "CORRECTION")
-        .when(r.isNotNull(), "DRAWDOWN")
+        .when(r.isNotNull(), "CRASH")
     )
 
 
