@@ -199,23 +199,35 @@ def walk_forward_obs(
 
 
 def _with_outcomes(bars: DataFrame, scored: DataFrame, horizon: int) -> DataFrame:
-    px = bars.select("ticker", "date", ft.PRICE)
-    vol = ft.with_realized_vol(px).select("ticker", "date", "vol_20d")
-    r20 = px.select("ticker", "date", ft.ret(20).alias("ret_20d"))
-    out = asof_forward(scored, px, ["ticker"], "date", ft.PRICE, sorted({1, horizon}), prefix="_n")
-    out = asof_forward(out, px, ["ticker"], "date", ft.PRICE, (0, 1, 5, 10, 20), include_same=True, prefix="_d")
-    out = asof_join(out, vol, ["ticker"], "date", ["vol_20d"])
-    out = with_parent(out, r20, ["ret_20d"]).withColumnRenamed("p_ret_20d", "parent_ret_20d")
+    """Add returns, risk and parent state from each side's last row on or before the date.
+
+    Everything ahead is a lead on that row, so one as-of join per side answers all columns.
+    A date on which the child itself trades starts the diagnostic returns at that row,
+    any other date at the next row.
+    """
+    diag = (0, 1, 5, 10, 20)
+    ahead = sorted({1, horizon, *diag, *(h + 1 for h in diag)})
+    feats = ft.with_realized_vol(bars.select("ticker", "date", ft.PRICE)).select(
+        "ticker",
+        "date",
+        "vol_20d",
+        ft.ret(20).alias("ret_20d"),
+        *[F.lead(ft.PRICE, k).over(ft.per_ticker()).alias(f"_a{k}") for k in ahead],
+    )
+    out = asof_join(scored, feats, ["ticker"], "date", ["vol_20d", *[f"_a{k}" for k in ahead]], fact_date="_own")
+    out = with_parent(out, feats, ["ret_20d"]).withColumnRenamed("p_ret_20d", "parent_ret_20d")
     out = with_cross_section(out, ["date"], "score")
-    change = lambda to, base: ft.ratio(F.col(to) - F.col(base), F.col(base))
+    change = lambda to, base: ft.ratio(to - base, base)
+    traded = F.col("_own") == F.col("date")
+    step = lambda h: F.when(traded, F.col(f"_a{h}")).otherwise(F.col(f"_a{h + 1}"))
     return out.select(
         "ticker",
         "parent",
         "date",
         "score",
         action_label(F.col("pct_below")).alias("action"),
-        change(f"_n{horizon}", "_n1").alias("fwd"),
-        *[change(f"_d{h}", "_d0").alias(f"diag_{h}") for h in (1, 5, 10, 20)],
+        change(F.col(f"_a{horizon}"), F.col("_a1")).alias("fwd"),
+        *[change(step(h), step(0)).alias(f"diag_{h}") for h in (1, 5, 10, 20)],
         "vol_20d",
         "parent_ret_20d",
     )
@@ -700,18 +712,22 @@ def megacap_backtest(aligned: DataFrame, min_valid: int = 6, warmup: int = MEGAC
     Runs from row ``warmup`` to the last row with a full 20-row exit and one to spare;
     halves split at the middle row index.
     """
-    comp = megacap_composite(aligned, label_mode="backtest", warmup=0, min_valid=1)
-    days = aligned.select("date").distinct()
-    w = Window.partitionBy(F.lit(0))
-    # one row per common trading day
-    days = days.withColumn("_i", F.row_number().over(w.orderBy("date")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    series = Window.partitionBy("ticker")
+    # members share their dates, so a row's position in its own series is the date's index
+    staged = (
+        aligned.withColumn("_i", ft.rows_seen() - 1)
+        .withColumn("_n", F.count(F.lit(1)).over(series))
+        .withColumns({f"_f{h}": ft.forward_return(h) for h in HORIZONS})
+    )
+    comp = megacap_composite(staged, label_mode="backtest", min_valid=min_valid)
     last = F.col("_n") - 22
-    days = days.filter((F.col("_i") >= warmup) & (F.col("_i") <= last)).select(
-        "date", F.when(F.col("_i") < F.floor((F.lit(warmup) + last) / 2), "H1").otherwise("H2").alias("half")
+    kept = comp.filter((F.col("_i") >= warmup) & (F.col("_i") <= last)).withColumn(
+        "half", F.when(F.col("_i") < F.floor((F.lit(warmup) + last) / 2), "H1").otherwise("H2")
+    )
+    f = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_f{h}").alias("fwd")) for h in HORIZONS])
+    obs = kept.withColumn("_f", F.explode(f)).select(
+        "ticker", "date", "half", "label", "composite", "iso_rs_multi", "trend", "vol_conviction", "iso_hist_pct", "_f.horizon", "_f.fwd"
     )
-    fwd = long_horizons(aligned.select("ticker", "date", ft.PRICE), HORIZONS, "next_close").select("ticker", "date", "horizon", "fwd")
-    members = comp.groupBy("date").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= min_valid).select("date")
-    obs = comp.join(members, "date").join(days, "date").join(fwd, ["ticker", "date"])
     by_date = obs.select("ticker", "date", "half", "horizon", "fwd", "label", F.col("composite").alias("score"), F.lit("composite").alias("segment"))
     iso = explode_segments(
         obs.withColumn("score", F.col("composite")),
