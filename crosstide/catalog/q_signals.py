@@ -191,21 +191,38 @@ def _(spark, d):
     return sg.rs_trend(inp.bars(spark, d), inp.edges(spark, d))
 
 
+part("r20i", f"SELECT ticker, date, {ret_sql(20)} AS r, row_number() OVER w AS ti FROM bars {W}", "bars")
 part("mr20", f"SELECT date, {ret_sql(20)} AS m FROM market_bars {W}", "market_bars")
 part(
-    "rs_adj",
+    "adj_pairs",
     """
-SELECT c.ticker, c.parent, c.date, c.r - p.r AS rs_score,
-  (c.r - cb.beta * c.m) - (p.r - pb.beta * c.m) AS rs_adj
-FROM (SELECT x.*, y.m FROM (SELECT ticker, date, r, parent FROM r20 JOIN edges ON child = ticker) x
-  ASOF LEFT JOIN mr20 y ON x.date >= y.date) c
-ASOF LEFT JOIN r20 p ON p.ticker = c.parent AND c.date >= p.date
-LEFT JOIN betas cb ON cb.ticker = c.ticker AND cb.date = c.date
-LEFT JOIN betas pb ON pb.ticker = p.ticker AND pb.date = p.date""",
-    "r20",
+SELECT c.ticker, c.parent, c.date, c.ti, c.r, p.r AS pr, p.ti AS pti, c.mi, c.m
+FROM (SELECT x.*, y.m, y.mi FROM (SELECT ticker, date, r, ti, parent FROM r20i JOIN edges ON child = ticker) x
+  ASOF LEFT JOIN (SELECT mr20.date, m, row_number() OVER (ORDER BY mr20.date) AS mi FROM mr20) y ON x.date >= y.date) c
+ASOF LEFT JOIN r20i p ON p.ticker = c.parent AND c.date >= p.date""",
     "mr20",
     "edges",
-    "betas",
+    "r20i",
+)
+part(
+    "pair_betas",
+    """
+SELECT k.ticker, k.ti, k.mi, covar_samp(t.r, m.m) / nullif(var_samp(m.m), 0) AS beta
+FROM (SELECT ticker, ti, mi FROM adj_pairs UNION SELECT parent, pti, mi FROM adj_pairs) k
+JOIN tret t ON t.ticker = k.ticker AND t.ti BETWEEN k.ti - 59 AND k.ti JOIN mret m ON m.mi = k.mi - (k.ti - t.ti)
+WHERE k.ti > 60 AND k.mi > 60 GROUP BY 1, 2, 3 HAVING count(t.r) = 60 AND count(m.m) = 60""",
+    "adj_pairs",
+    "tret",
+    "mret",
+)
+part(
+    "rs_adj",
+    """
+SELECT a.ticker, a.parent, a.date, r - pr AS rs_score, (r - cb.beta * m) - (pr - pb.beta * m) AS rs_adj
+FROM adj_pairs a LEFT JOIN pair_betas cb ON cb.ticker = a.ticker AND cb.ti = a.ti AND cb.mi = a.mi
+LEFT JOIN pair_betas pb ON pb.ticker = a.parent AND pb.ti = a.pti AND pb.mi = a.mi""",
+    "adj_pairs",
+    "pair_betas",
 )
 
 

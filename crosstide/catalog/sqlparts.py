@@ -21,6 +21,8 @@ def with_parts(select: str, *names: str) -> str:
 
     for n in names:
         visit(n)
+    if not order:
+        return select.strip()
     body = ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in order)
     select = select.strip()
     if select.upper().startswith("WITH "):

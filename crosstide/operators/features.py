@@ -206,6 +206,17 @@ def with_beta(
     return joined.withColumn(out, F.when(ok, beta)).drop("_tret", "_trets", "_tcount", "_mrets", "_mcount")
 
 
+def with_return_window(series: DataFrame, n: int, lookback: int) -> DataFrame:
+    """(ticker, date, ret, rets, seen): the lookback return, the last ``n`` one-row returns and the position."""
+    return series.withColumn("_r", ret(1)).select(
+        "ticker",
+        "date",
+        ret(lookback).alias("ret"),
+        F.collect_list("_r").over(frame(-(n - 1), 0)).alias("rets"),
+        rows_seen().alias("seen"),
+    )
+
+
 def array_beta(x: Column, y: Column, n: int) -> Column:
     """cov(x, y) / var(y) of two arrays of length ``n`` paired by position, from raw sums."""
     add = lambda acc, v: acc + v

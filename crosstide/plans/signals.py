@@ -143,20 +143,25 @@ def rs_beta_adjusted(
     ``pairs`` has ticker and parent; every series needs beta_window + 1 prices.
     Yields (ticker, parent, date, rs_score, rs_adj): raw and adjusted, unweighted.
     """
-    feats = ft.with_beta(
-        bars.select("ticker", "date", ft.PRICE).withColumn("ret", ft.ret(window)), market, beta_window, "position"
-    ).select("ticker", "date", "ret", "beta")
-    m = market.select("date", ft.PRICE).withColumn("ticker", F.lit("m")).select("ticker", "date", ft.ret(window).alias("m_ret"))
+    cols = ["ret", "rets", "seen"]
+    feats = ft.with_return_window(bars.select("ticker", "date", ft.PRICE), beta_window, window)
+    m = ft.with_return_window(market.select(F.lit("m").alias("ticker"), "date", ft.PRICE), beta_window, window)
     p = pairs.select("ticker", "parent")
     if dates is None:
         rows = feats.join(p, "ticker")
     else:
-        rows = asof_join(on_dates(p, dates), feats, ["ticker"], "date", ["ret", "beta"])
-    rows = with_parent(rows, feats, ["ret", "beta"])
+        rows = asof_join(on_dates(p, dates), feats, ["ticker"], "date", cols)
+    rows = with_parent(rows, feats, cols)
     days = rows.select("date").distinct().withColumn("ticker", F.lit("m"))
-    mret = asof_join(days, m, ["ticker"], "date", ["m_ret"], unique=True).drop("ticker")
-    rows = rows.join(mret, "date", "left")
-    adj = (F.col("ret") - F.col("beta") * F.col("m_ret")) - (F.col("p_ret") - F.col("p_beta") * F.col("m_ret"))
+    spot = asof_join(days, m, ["ticker"], "date", cols, unique=True).select("date", *[F.col(c).alias("m_" + c) for c in cols])
+    rows = rows.join(spot, "date", "left")
+    # both windows end at the probe date, whatever each side's own last date is
+    full = F.col("m_seen") > beta_window
+    beta = lambda pre: F.when(
+        full & (F.col(pre + "seen") > beta_window) & (F.size(pre + "rets") == beta_window),
+        ft.array_beta(F.col(pre + "rets"), F.col("m_rets"), beta_window),
+    )
+    adj = (F.col("ret") - beta("") * F.col("m_ret")) - (F.col("p_ret") - beta("p_") * F.col("m_ret"))
     return rows.select("ticker", "parent", "date", (F.col("ret") - F.col("p_ret")).alias("rs_score"), adj.alias("rs_adj"))
 
 
