@@ -24,6 +24,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows spread over all cores before heavy per-row text is built from them."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def series(spark: SparkSession, d: str, *levels: str) -> DataFrame:
     return bars_from_lines(
         table(spark, d, "lineitem"),

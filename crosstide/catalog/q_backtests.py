@@ -336,7 +336,7 @@ _BR = "CASE WHEN parent_ret_20d > 0 THEN 'strong' WHEN parent_ret_20d >= -0.05::
 
 @query(
     "segment_information_coefficients",
-    "I-05",
+    "I-05 A-10",
     with_parts(
         f"""WITH h AS {half_sql('wf_obs')},
 s AS (SELECT date, ticker, score, fwd, 'parent' AS kind, parent AS segment, 'ALL' AS half FROM h

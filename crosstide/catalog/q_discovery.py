@@ -48,6 +48,7 @@ def docs(spark, d):
     t = inp.table(spark, d, "orders").join(inp.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
         inp.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
+    t = inp.spread(t.select("o_orderkey", "o_orderpriority", "o_orderstatus", "c_mktsegment", "n_name"), "o_orderkey")
 
     def pick(col, values):
         out = F.lit(None).cast("string")

@@ -554,7 +554,7 @@ def _(spark, d):
 
 def form4_documents(spark, d):
     """One ownership document per order with a purchase, a sale and an award."""
-    t = inp.trades(spark, d)
+    t = inp.spread(inp.trades(spark, d), "accession_number")
     note = (
         F.when(F.col("insider_title") == "BUILDING", "Bought in the underwritten offering.")
         .when(F.col("insider_title") == "MACHINERY", "See the registration statement on Form S-3.")

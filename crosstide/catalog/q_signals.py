@@ -687,3 +687,21 @@ def _(spark, d):
 )
 def _(spark, d):
     return rk.top_n(inp.bars(spark, d), ["ticker"], [F.desc("date")], 5).select("ticker", "date", r8("close").alias("close"), "rn")
+
+
+# ---- one series per supplier: the widest cross-section ------------------------------
+
+
+@query(
+    "supplier_strength",
+    "W-01 W-16 G-01",
+    with_parts(
+        f"""SELECT ticker, date, {r8s('r')} AS ret_20, {r8s('(rank() OVER (PARTITION BY date ORDER BY r) - 1) / CAST(count(*) OVER (PARTITION BY date) AS DOUBLE)')} AS pct_below
+FROM (SELECT ticker, date, {ret_sql(20)} AS r FROM supplier_bars {W}) WHERE r IS NOT NULL""",
+        "supplier_bars",
+    ),
+)
+def _(spark, d):
+    b = inp.series(spark, d, "supplier").select("ticker", "date", ft.ret(20).alias("ret_20")).filter(F.col("ret_20").isNotNull())
+    s = rk.with_cross_section(b, ["date"], "ret_20")
+    return s.select("ticker", "date", r8("ret_20").alias("ret_20"), r8("pct_below").alias("pct_below"))

@@ -183,47 +183,45 @@ def with_beta(
         raise ValueError(f"unknown alignment {align!r}")
     from crosstide.operators.asof import asof_join
 
-    # one array of the latest n market returns per market date, newest last
-    mw = Window.partitionBy("ticker").orderBy("date")
-    mret = (
-        market.withColumn("ticker", F.lit("market"))
-        .withColumn("_mret", ret(1))
-        .withColumn("_mrets", F.collect_list("_mret").over(mw.rowsBetween(-(n - 1), 0)))
-        .withColumn("_mcount", F.row_number().over(mw))
-        .select("ticker", "date", "_mrets", "_mcount")
-    )
-    staged = (
-        bars.withColumn("_tret", ret(1))
-        .withColumn("_trets", F.collect_list("_tret").over(frame(-(n - 1), 0)))
-        .withColumn("_tcount", rows_seen())
-    )
-    # dates of all tickers, looked up once on the market calendar
-    calendar = staged.select("date").distinct().withColumn("ticker", F.lit("market"))
-    asof = asof_join(calendar, mret, ["ticker"], "date", ["_mrets", "_mcount"], unique=True).drop("ticker")
-    joined = staged.join(asof, "date", "left")
-    beta = array_beta(F.col("_trets"), F.col("_mrets"), n)
-    ok = (F.col("_tcount") >= n + 1) & (F.col("_mcount") >= n + 1) & (F.size("_trets") == n) & (F.size("_mrets") == n)
-    return joined.withColumn(out, F.when(ok, beta)).drop("_tret", "_trets", "_tcount", "_mrets", "_mcount")
+    # the market's window at the date of each ticker row, looked up once per date
+    m = with_return_window(market.select(F.lit("market").alias("ticker"), "date", PRICE), n, 1)
+    days = bars.select("date").distinct().withColumn("ticker", F.lit("market"))
+    cols = ["rets", "sum1", "sum2", "seen"]
+    spot = asof_join(days, m, ["ticker"], "date", cols, unique=True).select("date", *[F.col(c).alias("_m_" + c) for c in cols])
+    own = with_return_window(bars, n, 1).select("ticker", "date", *[F.col(c).alias("_t_" + c) for c in cols])
+    found = own.join(spot, "date", "left").select("ticker", "date", position_beta("_t_", "_m_", n).alias(out))
+    return bars.join(found, ["ticker", "date"], "left")
 
 
 def with_return_window(series: DataFrame, n: int, lookback: int) -> DataFrame:
-    """(ticker, date, ret, rets, seen): the lookback return, the last ``n`` one-row returns and the position."""
+    """(ticker, date, ret, rets, sum1, sum2, seen) of each row.
+
+    ret is the lookback return; rets the last ``n`` one-row returns with their sum and
+    sum of squares; seen the position in the series.
+    """
+    f = frame(-(n - 1), 0)
     return series.withColumn("_r", ret(1)).select(
         "ticker",
         "date",
         ret(lookback).alias("ret"),
-        F.collect_list("_r").over(frame(-(n - 1), 0)).alias("rets"),
+        F.collect_list("_r").over(f).alias("rets"),
+        F.sum("_r").over(f).alias("sum1"),
+        F.sum(F.col("_r") * F.col("_r")).over(f).alias("sum2"),
         rows_seen().alias("seen"),
     )
 
 
-def array_beta(x: Column, y: Column, n: int) -> Column:
-    """cov(x, y) / var(y) of two arrays of length ``n`` paired by position, from raw sums."""
-    add = lambda acc, v: acc + v
-    sx, sy = F.aggregate(x, F.lit(0.0), add), F.aggregate(y, F.lit(0.0), add)
-    sxy = F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), add)
-    syy = F.aggregate(y, F.lit(0.0), lambda acc, v: acc + v * v)
-    return ratio(sxy - sx * sy / F.lit(float(n)), syy - sy * sy / F.lit(float(n)))
+def position_beta(x: str, y: str, n: int) -> Column:
+    """cov / var of two return windows paired by position; ``x`` and ``y`` are column prefixes.
+
+    NULL unless both sides have seen ``n`` + 1 prices and every return exists.
+    """
+    size = F.lit(float(n))
+    products = F.zip_with(x + "rets", y + "rets", lambda a, b: a * b)
+    sxy = F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+    sx, sy, syy = F.col(x + "sum1"), F.col(y + "sum1"), F.col(y + "sum2")
+    full = (F.col(x + "seen") > n) & (F.col(y + "seen") > n) & (F.size(x + "rets") == n) & (F.size(y + "rets") == n)
+    return F.when(full, ratio(sxy - sx * sy / size, syy - sy * sy / size))
 
 
 def forward_return(h: int, convention: str = "next_close", price: str = PRICE) -> Column:

@@ -464,7 +464,7 @@ def confirmation_backtest(bars: DataFrame, trades: DataFrame, members: DataFrame
     positive = F.col("ret_20d") > 0
     if benchmark is not None:
         b = benchmark.withColumn("ticker", F.lit("b")).select("ticker", "date", ft.ret(20).alias("b_ret"))
-        days = feats.select("date").distinct().withColumn("ticker", F.lit("b"))
+        days = bars.select("date").distinct().withColumn("ticker", F.lit("b"))
         feats = feats.join(asof_join(days, b, ["ticker"], "date", ["b_ret"], unique=True).drop("ticker"), "date", "left")
         positive = F.when(F.col("_m").isNotNull(), F.col("ret_20d") - F.col("b_ret") > 0).otherwise(F.col("ret_20d") > 0)
     long = with_date_half(_confirm_long(feats, positive))
@@ -629,18 +629,17 @@ def pair_obs(
 
 
 def _per_series(rows: DataFrame, keys: Sequence[str], horizons: Sequence[int], min_obs: int) -> DataFrame:
-    """ICs of one series' observations, halves by row position; series below ``min_obs`` keep NULL ICs."""
+    """ICs of one series' observations, halves by row position; series below ``min_obs`` keep NULL ICs.
+
+    A group is one series, bounded by the calendar, so its size travels with its rows.
+    """
     keys = list(keys)
-    rows = with_row_half(rows, keys)
+    rows = with_row_half(rows, keys).withColumn("n_obs", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     f = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_f{h}").alias("fwd")) for h in horizons])
-    long = with_all(rows.withColumn("_f", F.explode(f)).select(*keys, "date", "score", "half", "_f.horizon", "_f.fwd"))
-    # a group is one series: bounded by the calendar
-    ics = pivot_halves(spearman(long, [*keys, "horizon", "half"], "average", 5), [*keys, "horizon"])
-    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"))
-    grid = size.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    out = grid.join(ics, [*keys, "horizon"], "left")
+    long = with_all(rows.withColumn("_f", F.explode(f)).select(*keys, "n_obs", "date", "score", "half", "_f.horizon", "_f.fwd"))
+    ics = pivot_halves(spearman(long, [*keys, "n_obs", "horizon", "half"], "average", 5), [*keys, "n_obs", "horizon"])
     enough = F.col("n_obs") >= min_obs
-    return out.select(*keys, "horizon", "n_obs", *[F.when(enough, F.col(c)).alias(c) for c in ("ic", "ic_h1", "ic_h2")])
+    return ics.select(*keys, "horizon", "n_obs", *[F.when(enough, F.col(c)).alias(c) for c in ("ic", "ic_h1", "ic_h2")])
 
 
 def theme_backtest(bars: DataFrame, themes: DataFrame, min_obs: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:

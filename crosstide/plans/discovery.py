@@ -87,29 +87,39 @@ def _group(text: Column, pattern: str, k: int) -> Column:
 
 
 def table_rows(text: Column) -> Column:
-    """Hits of pipe-delimited rows: array of (pass, position, name, pct)."""
-    return F.transform(
-        F.split(text, LINE_END),
-        lambda line, i: F.struct(
+    """Hits of pipe-delimited rows: array of (pass, position, name, pct).
+
+    Lines without a bar and a percent sign cannot match and skip the pattern.
+    """
+
+    def hit(line, i):
+        possible = line.contains("|") & line.contains("%")
+        return F.struct(
             F.lit(1).alias("pass"),
             i.alias("position"),
-            _group(line, TABLE_ROW_PATTERN, 1).alias("name"),
-            _group(line, TABLE_ROW_PATTERN, 2).try_cast("double").alias("pct"),
-        ),
-    )
+            F.when(possible, _group(line, TABLE_ROW_PATTERN, 1)).alias("name"),
+            F.when(possible, _group(line, TABLE_ROW_PATTERN, 2)).try_cast("double").alias("pct"),
+        )
+
+    return F.transform(F.split(text, LINE_END), hit)
 
 
 def sentence_hits(sentences: Column) -> Column:
-    """Hits of prose sentences; only the first matching pattern of a sentence counts."""
-    return F.transform(
-        sentences,
-        lambda s, i: F.struct(
+    """Hits of prose sentences; only the first matching pattern of a sentence counts.
+
+    Every pattern needs a percent sign, so other sentences skip them all.
+    """
+
+    def hit(s, i):
+        possible = s.contains("%")
+        return F.struct(
             F.lit(2).alias("pass"),
             i.alias("position"),
-            F.coalesce(*[_group(s, p, n) for p, n, _ in CONCENTRATION_PATTERNS]).alias("name"),
-            F.coalesce(*[_group(s, p, k) for p, _, k in CONCENTRATION_PATTERNS]).try_cast("double").alias("pct"),
-        ),
-    )
+            F.when(possible, F.coalesce(*[_group(s, p, n) for p, n, _ in CONCENTRATION_PATTERNS])).alias("name"),
+            F.when(possible, F.coalesce(*[_group(s, p, k) for p, _, k in CONCENTRATION_PATTERNS])).try_cast("double").alias("pct"),
+        )
+
+    return F.transform(sentences, hit)
 
 
 def split_sentences(text: Column) -> Column:

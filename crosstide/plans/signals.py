@@ -143,7 +143,7 @@ def rs_beta_adjusted(
     ``pairs`` has ticker and parent; every series needs beta_window + 1 prices.
     Yields (ticker, parent, date, rs_score, rs_adj): raw and adjusted, unweighted.
     """
-    cols = ["ret", "rets", "seen"]
+    cols = ["ret", "rets", "sum1", "sum2", "seen"]
     feats = ft.with_return_window(bars.select("ticker", "date", ft.PRICE), beta_window, window)
     m = ft.with_return_window(market.select(F.lit("m").alias("ticker"), "date", ft.PRICE), beta_window, window)
     p = pairs.select("ticker", "parent")
@@ -156,11 +156,7 @@ def rs_beta_adjusted(
     spot = asof_join(days, m, ["ticker"], "date", cols, unique=True).select("date", *[F.col(c).alias("m_" + c) for c in cols])
     rows = rows.join(spot, "date", "left")
     # both windows end at the probe date, whatever each side's own last date is
-    full = F.col("m_seen") > beta_window
-    beta = lambda pre: F.when(
-        full & (F.col(pre + "seen") > beta_window) & (F.size(pre + "rets") == beta_window),
-        ft.array_beta(F.col(pre + "rets"), F.col("m_rets"), beta_window),
-    )
+    beta = lambda pre: ft.position_beta(pre, "m_", beta_window)
     adj = (F.col("ret") - beta("") * F.col("m_ret")) - (F.col("p_ret") - beta("p_") * F.col("m_ret"))
     return rows.select("ticker", "parent", "date", (F.col("ret") - F.col("p_ret")).alias("rs_score"), adj.alias("rs_adj"))
 
