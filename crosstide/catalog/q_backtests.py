@@ -782,7 +782,7 @@ def theme(spark, d):
     with_parts(f"SELECT ticker, benchmark, horizon, n_obs, {r8s('ic')} AS ic, {r8s('ic_h1')} AS ic_h1, {r8s('ic_h2')} AS ic_h2 FROM th_ic", "th_ic"),
 )
 def _(spark, d):
-    p = theme(spark, d)[0]
+    p = theme(spark, d).per_ticker
     return p.select("ticker", "benchmark", "horizon", "n_obs", r8("ic").alias("ic"), r8("ic_h1").alias("ic_h1"), r8("ic_h2").alias("ic_h2"))
 
 
@@ -795,7 +795,7 @@ _PASS = "coalesce(bool_or(horizon IN (10, 20) AND ic > 0.05::DOUBLE AND ic_h1 >
     with_parts(f"SELECT ticker, benchmark, max(n_obs) AS n_obs, {_PASS} AND max(n_obs) >= 30 AS passes FROM th_ic GROUP BY 1, 2", "th_ic"),
 )
 def _(spark, d):
-    return theme(spark, d)[1]
+    return theme(spark, d).verdicts
 
 
 @query(
@@ -804,7 +804,7 @@ def _(spark, d):
     with_parts(pooled_sql("(SELECT 'combined' AS segment, ticker, date, score, horizon, fwd FROM th_long)", "average", 5), "th_long"),
 )
 def _(spark, d):
-    return out_pooled(theme(spark, d)[2])
+    return out_pooled(theme(spark, d).combined)
 
 
 part(

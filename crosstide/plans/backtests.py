@@ -7,8 +7,7 @@ windows over one date's cross-section, pooled ICs use ranks computed across part
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,14 +48,23 @@ HORIZONS = (5, 10, 20)
 ACTIONS = ("STRONG_BUY", "BUY", "HOLD", "SELL")
 
 
-@dataclass
 class Evaluation:
-    """Frames of one evaluation; those a runner does not produce are None."""
+    """Named frames of one evaluation, each built when it is first asked for.
 
-    obs: DataFrame
-    date_ic: DataFrame | None = None
-    pooled_ic: DataFrame | None = None
-    buckets: DataFrame | None = None
+    Pooled ranks run a job when they are built, so unused ones must cost nothing.
+    """
+
+    def __init__(self, **frames: Callable[[], DataFrame]):
+        self._frames = frames
+
+    def __getattr__(self, name: str) -> DataFrame:
+        try:
+            frame = self.__dict__["_frames"][name]
+        except KeyError:
+            raise AttributeError(name) from None
+        value = frame()
+        setattr(self, name, value)
+        return value
 
 
 def date_ic(obs: DataFrame, rank: str, min_n: int, ddof: int = 1) -> DataFrame:
@@ -377,10 +385,10 @@ def rvol_backtest(bars: DataFrame, members: DataFrame, horizons: Sequence[int] =
         "bucket", F.when(F.col("direction") > 0, "up_high_rvol").otherwise("down_high_rvol")
     )
     return Evaluation(
-        obs=by_date,
-        date_ic=date_ic(by_date, "ordinal", 3),
-        pooled_ic=pooled_ic(pooled, "ordinal", 3),
-        buckets=bucket_means(high, ["bucket", "horizon"]),
+        obs=lambda: by_date,
+        date_ic=lambda: date_ic(by_date, "ordinal", 3),
+        pooled_ic=lambda: pooled_ic(pooled, "ordinal", 3),
+        buckets=lambda: bucket_means(high, ["bucket", "horizon"]),
     )
 
 
@@ -405,9 +413,9 @@ def estimates_backtest(estimates: DataFrame, bars: DataFrame, horizons: Sequence
     long = long.withColumn("segment", F.lit("all"))
     signed = long.filter(F.col("score") != 0).withColumn("bucket", F.when(F.col("score") > 0, "positive").otherwise("negative"))
     return Evaluation(
-        obs=long,
-        date_ic=date_ic(long, "ordinal", 3),
-        buckets=bucket_means(signed, ["bucket", "horizon"]),
+        obs=lambda: long,
+        date_ic=lambda: date_ic(long, "ordinal", 3),
+        buckets=lambda: bucket_means(signed, ["bucket", "horizon"]),
     )
 
 
@@ -477,7 +485,12 @@ def confirmation_backtest(bars: DataFrame, trades: DataFrame, members: DataFrame
         ("score", None),
         score={"rs_only": "rs_only"},
     )
-    return Evaluation(by_date, date_ic(by_date, "ordinal", 3), pooled_ic(pooled, "ordinal", 3), bucket_means(long, ["bucket", "horizon"]))
+    return Evaluation(
+        obs=lambda: by_date,
+        date_ic=lambda: date_ic(by_date, "ordinal", 3),
+        pooled_ic=lambda: pooled_ic(pooled, "ordinal", 3),
+        buckets=lambda: bucket_means(long, ["bucket", "horizon"]),
+    )
 
 
 def qualifying_parents(
@@ -517,10 +530,10 @@ def confirmation_regime_backtest(
     scored = segs("score")
     rs_only = segs("rs_only").withColumn("segment", F.concat("segment", F.lit("_rs_only")))
     return Evaluation(
-        scored,
-        date_ic(scored, "ordinal", 3),
-        pooled_ic(scored.unionByName(rs_only), "ordinal", 3),
-        bucket_means(scored, ["segment", "bucket", "horizon"]),
+        obs=lambda: scored,
+        date_ic=lambda: date_ic(scored, "ordinal", 3),
+        pooled_ic=lambda: pooled_ic(scored.unionByName(rs_only), "ordinal", 3),
+        buckets=lambda: bucket_means(scored, ["segment", "bucket", "horizon"]),
     )
 
 
@@ -559,16 +572,19 @@ def rotation_backtest(
         "ticker", "date", "half", "score", "leading", "_f.horizon", "_f.fwd"
     ).filter(F.col("fwd").isNotNull())
     obs = explode_segments(long, ("baseline", None), ("LEADING", F.col("leading")), ("not-LEADING", ~F.col("leading")))
+    return Evaluation(obs=lambda: obs, pooled_ic=lambda: _rotation_ics(obs))
+
+
+def _rotation_ics(obs: DataFrame) -> DataFrame:
     pooled = pooled_ic(obs, "ordinal", 3, halves=True)
     spread = obs.groupBy("segment", "horizon").agg(F.stddev_samp("fwd").alias("_sd"))
     size = pooled.filter("horizon = 5").select("segment", sufficiency(F.col("n")).alias("sufficiency"))
-    pooled = (
+    return (
         pooled.join(spread, ["segment", "horizon"])
         .withColumn("ir_proxy", ft.ratio(F.col("ic"), F.col("_sd")))
         .drop("_sd")
         .join(size, "segment", "left")
     )
-    return Evaluation(obs, pooled_ic=pooled)
 
 
 def segment_delta(pooled: DataFrame, segment: str, baseline: str) -> DataFrame:
@@ -606,7 +622,9 @@ def zscore_backtest(bars: DataFrame, basket: DataFrame, since: str = "2024-01-01
     )
     rows = rows.withColumn("_s", F.explode(items)).withColumn("segment", F.concat_ws("/", "theme", "window", "_s.signal"))
     rows = rows.select("segment", "ticker", "_order", "date", "half", "horizon", "fwd", "_s.score")
-    return Evaluation(rows, pooled_ic=pooled_ic(rows, "ordinal", 3, ties=("date", "_order"), halves=True))
+    return Evaluation(
+        obs=lambda: rows, pooled_ic=lambda: pooled_ic(rows, "ordinal", 3, ties=("date", "_order"), halves=True)
+    )
 
 
 def pair_obs(
@@ -642,15 +660,20 @@ def _per_series(rows: DataFrame, keys: Sequence[str], horizons: Sequence[int], m
     return ics.select(*keys, "horizon", "n_obs", *[F.when(enough, F.col(c)).alias(c) for c in ("ic", "ic_h1", "ic_h2")])
 
 
-def theme_backtest(bars: DataFrame, themes: DataFrame, min_obs: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(per ticker and horizon, pass verdict per ticker, combined IC per horizon)."""
+def theme_backtest(bars: DataFrame, themes: DataFrame, min_obs: int = 30) -> Evaluation:
+    """Frames per_ticker (by horizon), verdicts (per ticker) and combined (pooled by horizon)."""
     rows = pair_obs(bars, themes)
-    per = _per_series(rows, ["ticker", "benchmark"], HORIZONS, min_obs)
+    keys = ["ticker", "benchmark"]
     f = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_f{h}").alias("fwd")) for h in HORIZONS])
     long = rows.withColumn("_f", F.explode(f)).select("ticker", "date", "score", "_f.horizon", "_f.fwd").withColumn(
         "segment", F.lit("combined")
     )
-    return per, passes_at_any(per, ["ticker", "benchmark"], min_n=min_obs), pooled_ic(long, "average", 5)
+    return Evaluation(
+        obs=lambda: rows,
+        per_ticker=lambda: _per_series(rows, keys, HORIZONS, min_obs),
+        verdicts=lambda: passes_at_any(_per_series(rows, keys, HORIZONS, min_obs), keys, min_n=min_obs),
+        combined=lambda: pooled_ic(long, "average", 5),
+    )
 
 
 def catalyst_backtest(
@@ -737,7 +760,12 @@ def megacap_backtest(aligned: DataFrame, min_valid: int = 6, warmup: int = MEGAC
         score={"rs_multi": "iso_rs_multi", "trend": "trend", "volume": "vol_conviction", "hist_pct": "iso_hist_pct"},
     )
     labels = bucket_means(by_date.withColumnRenamed("label", "bucket"), ["bucket", "horizon"])
-    return Evaluation(by_date, date_ic(by_date, "average", 4), pooled_ic(iso, "average", 4), labels)
+    return Evaluation(
+        obs=lambda: by_date,
+        date_ic=lambda: date_ic(by_date, "average", 4),
+        pooled_ic=lambda: pooled_ic(iso, "average", 4),
+        buckets=lambda: labels,
+    )
 
 
 # ---- insiders -----------------------------------------------------------------------
@@ -788,9 +816,9 @@ def insider_backtest(
     counts = rows.groupBy("segment", score_label(F.col("score")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     f = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_f{h}").alias("fwd")) for h in HORIZONS])
     long = rows.withColumn("_f", F.explode(f)).select("segment", "ticker", "date", "half", "score", "_f.horizon", "_f.fwd")
-    pooled = pooled_ic(long, "ordinal", 5, ties=("ticker", "date"), halves=True)
-    pooled = pooled.withColumn("verdict", pass_verdict(F.col("ic"), F.col("ic_h1"), F.col("ic_h2"), F.col("n")))
-    return Evaluation(long, pooled_ic=pooled, buckets=counts)
+    verdict = pass_verdict(F.col("ic"), F.col("ic_h1"), F.col("ic_h2"), F.col("n"))
+    pooled = lambda: pooled_ic(long, "ordinal", 5, ties=("ticker", "date"), halves=True)
+    return Evaluation(obs=lambda: long, pooled_ic=lambda: pooled().withColumn("verdict", verdict), buckets=lambda: counts)
 
 
 # ---- stored strength ----------------------------------------------------------------
