@@ -509,4 +509,4 @@ def _(spark, d):
     mega = e.select(F.col("parent").alias("ticker"), F.lit(True).alias("is_megacap")).distinct()
     names = mega.unionByName(e.select(F.col("child").alias("ticker"), F.lit(False).alias("is_megacap")).distinct())
     feed = sc.filings_feed(ql.stored_filings(spark, d), names, D, 30)
-    return feed.select("ticker", "is_megacap", "filing_count", F.inline("filings"))
+    return feed.select("ticker", "is_megacap", "id", "filed_date", "impact", "filing_count")

@@ -703,5 +703,6 @@ FROM (SELECT ticker, date, {ret_sql(20)} AS r FROM supplier_bars {W}) WHERE r IS
 )
 def _(spark, d):
     b = inp.series(spark, d, "supplier").select("ticker", "date", ft.ret(20).alias("ret_20")).filter(F.col("ret_20").isNotNull())
-    s = rk.with_cross_section(b, ["date"], "ret_20")
+    # a date holds every supplier, a number that grows with the data: rank across partitions
+    s = rk.with_cross_section(b, ["date"], "ret_20", pooled=True)
     return s.select("ticker", "date", r8("ret_20").alias("ret_20"), r8("pct_below").alias("pct_below"))

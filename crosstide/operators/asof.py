@@ -83,13 +83,34 @@ def asof_forward(
     return probe.join(hit, [*by, on], "left")
 
 
-def active_days(events: DataFrame, start: str, end: str, out: str = "date") -> DataFrame:
-    """One row per calendar day on which an event is active, both ends included.
+def active_totals(
+    events: DataFrame, by: Sequence[str], start: str, end: str, measures: Sequence[str], out: str = "date"
+) -> DataFrame:
+    """Per key and day, the totals of integer ``measures`` over the events active that day.
 
-    Replaces a range predicate by an equality on the day; the output is at most
-    the window length times the events. Reduce the events to the distinct facts
-    that matter before calling.
+    An event adds its measures on its first day and takes them back the day after its
+    last. The changes are summed per (key, day) before the shuffle and accumulated per
+    key, so a busy key costs its days, not its events, and windows of any length cost
+    two rows per event. Days without an active event have no row.
     """
-    return events.filter(F.col(start) <= F.col(end)).withColumn(
-        out, F.explode(F.sequence(F.col(start), F.col(end)))
+    by, names = list(by), list(measures)
+    spans = events.filter(F.col(start) <= F.col(end)).withColumn("_open", F.lit(1))
+    change = F.explode(
+        F.array(
+            F.struct(F.col(start).alias("day"), F.lit(1).alias("sign")),
+            F.struct(F.date_add(F.col(end), 1).alias("day"), F.lit(-1).alias("sign")),
+        )
+    )
+    cols = [*names, "_open"]
+    changes = (
+        spans.select(*by, *cols, change.alias("_c"))
+        .groupBy(*by, F.col("_c.day").alias(out))
+        .agg(*[F.sum(F.col(c) * F.col("_c.sign")).cast("long").alias(c) for c in cols])
     )
+    w = Window.partitionBy(*by).orderBy(out)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    levels = changes.select(
+        *by, F.col(out).alias("_from"), F.lead(out).over(w).alias("_next"), *[F.sum(c).over(run).alias(c) for c in cols]
+    ).filter(F.col("_open") > 0)
+    days = F.explode(F.sequence(F.col("_from"), F.date_sub(F.col("_next"), 1)))
+    return levels.select(*by, days.alias(out), *names)

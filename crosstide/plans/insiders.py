@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstide.operators.asof import active_days
+from crosstide.operators.asof import active_totals
 
 WINDOW_DAYS = 30
 CLUSTER_SIZE = 3
@@ -48,47 +48,62 @@ def insider_summary(trades: DataFrame, as_of, days: int = WINDOW_DAYS) -> DataFr
     return inside.filter(F.col("transaction_code").isin("P", "S")).groupBy("ticker").agg(*_summary_aggs(F.first(end)))
 
 
-def insider_activity(trades: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
-    """The additive part of the summary for every (ticker, date) a window is open.
+def _buyer_spans(base: DataFrame, days: int) -> DataFrame:
+    """Disjoint spans in which a name counts as a buyer of a ticker.
 
-    Trades reduce to one row per (ticker, day) before each day is expanded over the
-    window it stays active in, so a busy ticker costs days, not trades. Distinct
-    buyers are counted from (ticker, day, name) rows.
+    A name's window is cut where its next purchase opens a new one, so adding spans up
+    counts every name once. A buyer without a name is one buyer.
     """
+    name = F.coalesce("insider_name", F.lit("")).alias("_name")
+    bought = base.filter(_is_buy()).select("ticker", name, F.col("transaction_date").alias("_from")).distinct()
+    following = F.lead("_from").over(Window.partitionBy("ticker", "_name").orderBy("_from"))
+    last = F.least(F.date_add("_from", days - 1), F.date_sub(following, 1))
+    return bought.select("ticker", "_from", last.alias("_to"), F.lit(1).alias("distinct_insiders"))
+
+
+def _windows(trades: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+    """(daily totals with their window, buyer spans) of purchases and sales."""
     base = trades.filter(F.col("transaction_code").isin("P", "S") & F.col("transaction_date").isNotNull())
     buy, sell = _is_buy(), F.col("transaction_code") == "S"
-    # money in whole cents: the total must not depend on the order of addition
+    # money in whole cents: totals do not depend on the order of addition
     cents = F.round(F.col("total_value") * 100).cast("long")
-    daily = base.groupBy("ticker", "transaction_date").agg(
-        F.count(F.when(buy, 1)).alias("buys"),
-        F.coalesce(F.sum(F.when(buy, cents)), F.lit(0)).alias("buy_cents"),
-        F.coalesce(F.bool_or(F.when(buy, F.col("is_officer"))), F.lit(False)).alias("officer"),
-        F.count(F.when(sell, 1)).alias("sells"),
-        F.coalesce(F.sum(F.when(sell, cents)), F.lit(0)).alias("sell_cents"),
-    )
-    span = daily.withColumn("_to", F.date_add("transaction_date", days - 1))
-    totals = (
-        active_days(span, "transaction_date", "_to")
-        .groupBy("ticker", "date")
+    daily = (
+        base.groupBy("ticker", F.col("transaction_date").alias("_from"))
         .agg(
-            F.sum("buys").alias("buy_count"),
-            (F.sum("buy_cents") / F.lit(100.0)).alias("total_dollar_value"),
-            F.bool_or("officer").alias("has_officer_buys"),
-            F.sum("sells").alias("sell_count"),
-            (F.sum("sell_cents") / F.lit(100.0)).alias("total_sell_value"),
+            F.count(F.when(buy, 1)).alias("buy_count"),
+            F.coalesce(F.sum(F.when(buy, cents)), F.lit(0)).alias("buy_cents"),
+            F.count(F.when(buy & F.col("is_officer"), 1)).alias("officer_buys"),
+            F.count(F.when(sell, 1)).alias("sell_count"),
+            F.coalesce(F.sum(F.when(sell, cents)), F.lit(0)).alias("sell_cents"),
         )
+        .withColumn("_to", F.date_add("_from", days - 1))
     )
-    names = base.filter(buy).select("ticker", "transaction_date", F.coalesce("insider_name", F.lit("")).alias("_name")).distinct()
-    # a buyer's overlapping windows are merged to distinct (ticker, date, name) rows first
-    buyers = (
-        active_days(names.withColumn("_to", F.date_add("transaction_date", days - 1)), "transaction_date", "_to")
-        .select("ticker", "date", "_name")
-        .distinct()
-        .groupBy("ticker", "date")
-        .agg(F.count(F.lit(1)).alias("distinct_insiders"))
-    )
-    return totals.join(buyers, ["ticker", "date"], "left").withColumn(
-        "distinct_insiders", F.coalesce("distinct_insiders", F.lit(0))
+    return daily, _buyer_spans(base, days)
+
+
+MEASURES = ("buy_count", "buy_cents", "officer_buys", "sell_count", "sell_cents", "distinct_insiders")
+
+
+def insider_activity(trades: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """Counts, money and distinct buyers for every (ticker, date) with an open window.
+
+    A window runs from the trade to ``days`` - 1 later. Purchases that are not on the
+    open market open a window but count for nothing.
+    """
+    daily, spans = _windows(trades, days)
+    zero = {m: F.lit(0).cast("long") for m in MEASURES}
+    rows = daily.withColumn("distinct_insiders", zero["distinct_insiders"])
+    names = spans.withColumns({m: z for m, z in zero.items() if m != "distinct_insiders"})
+    total = active_totals(rows.unionByName(names), ["ticker"], "_from", "_to", MEASURES)
+    return total.select(
+        "ticker",
+        "date",
+        "buy_count",
+        "distinct_insiders",
+        (F.col("buy_cents") / F.lit(100.0)).alias("total_dollar_value"),
+        (F.col("officer_buys") > 0).alias("has_officer_buys"),
+        "sell_count",
+        (F.col("sell_cents") / F.lit(100.0)).alias("total_sell_value"),
     )
 
 
@@ -105,9 +120,9 @@ def insider_category(buys: Column, cluster: Column, officer: Column, selling: Co
 
 
 def money_text(c: Column) -> Column:
-    """$1.2M from a million, $3K from a thousand, else NULL."""
-    return F.when(c >= 1_000_000, F.format_string("$%.1fM", c / 1_000_000)).when(
-        c >= 1_000, F.format_string("$%.0fK", c / 1_000)
+    """$1.2M from a million, $3K from a thousand, else NULL; ties round to even."""
+    return F.when(c >= 1_000_000, F.format_string("$%.1fM", F.bround(c / 1_000_000, 1))).when(
+        c >= 1_000, F.format_string("$%.0fK", F.bround(c / 1_000, 0))
     )
 
 
@@ -123,25 +138,12 @@ SIGNAL_LABELS = {2: "CLUSTER_BUY", 1: "BUY_SIGNAL", 0: "NEUTRAL", -1: "SELL_SIGN
 def insider_score(trades: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     """(ticker, date, score, label) wherever a buy or sale is active: 2, 1 or -1.
 
-    Dates without a row score 0. Buyers without a name count as one buyer.
+    Dates without a row score 0.
     """
-    base = trades.filter(F.col("transaction_code").isin("P", "S") & F.col("transaction_date").isNotNull())
-    buy, sell = _is_buy(), F.col("transaction_code") == "S"
-    facts = (
-        base.filter(buy | sell)
-        .select("ticker", "transaction_date", F.when(buy, F.coalesce("insider_name", F.lit(""))).alias("_name"))
-        .distinct()
-    )
-    days_on = (
-        active_days(facts.withColumn("_to", F.date_add("transaction_date", days - 1)), "transaction_date", "_to")
-        .select("ticker", "date", "_name")
-        .distinct()
-        .groupBy("ticker", "date")
-        .agg(F.count("_name").alias("n_buyers"))
-    )
-    n = F.col("n_buyers")
+    n = F.col("distinct_insiders")
     score = F.when(n >= CLUSTER_SIZE, 2).when(n >= 1, 1).otherwise(-1)
-    return days_on.select("ticker", "date", score.alias("score"), score_label(score).alias("label"))
+    active = insider_activity(trades, days).filter((n > 0) | (F.col("sell_count") > 0))
+    return active.select("ticker", "date", score.alias("score"), score_label(score).alias("label"))
 
 
 def score_label(score: Column) -> Column:
@@ -156,10 +158,8 @@ def insider_buy_days(trades: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
 
     A buy is visible from its filing date to ``days`` after the trade.
     """
-    buys = trades.filter(_is_buy()).select("ticker", "filed_date", F.date_add("transaction_date", days).alias("_to")).distinct()
-    # one trade day per filing day is enough: the one that stays visible longest
-    longest = buys.groupBy("ticker", "filed_date").agg(F.max("_to").alias("_to"))
-    return active_days(longest, "filed_date", "_to").select("ticker", "date").distinct()
+    buys = trades.filter(_is_buy()).select("ticker", "filed_date", F.date_add("transaction_date", days).alias("_to"))
+    return active_totals(buys, ["ticker"], "filed_date", "_to", [])
 
 
 def recent_purchases(trades: DataFrame, as_of, days: int = 30, min_value: float = 0.0, ticker: str | None = None) -> DataFrame:

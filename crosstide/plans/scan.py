@@ -295,10 +295,10 @@ def theme_scan(
 def filings_feed(
     filings: DataFrame, universe: DataFrame, as_of, days: int = 7, scope: str = "all", ticker: str | None = None
 ) -> DataFrame:
-    """Recent filings of a universe class, one row per ticker with its filings newest first.
+    """Recent filings of a universe class: large names first, each ticker's filings newest first.
 
-    ``universe`` has ticker and is_megacap; large names come first. The list of a ticker
-    holds the filings of ``days`` days.
+    ``universe`` has ticker and is_megacap. Every row carries its ticker's filing_count;
+    rows stay rows, so a ticker with very many filings is no single value.
     """
     if scope not in ("all", "megacap", "dependent"):
         raise ValueError(f"unknown scope {scope!r}")
@@ -308,9 +308,5 @@ def filings_feed(
     if ticker:
         names = names.filter(F.col("ticker") == ticker.upper())
     rows = filings.filter(F.col("filed_date") >= F.date_sub(F.lit(as_of).cast("date"), days)).join(names, "ticker")
-    entry = F.struct((-F.unix_date("filed_date")).alias("o"), F.col("impact"), F.col("id"), F.col("filed_date"))
-    lists = rows.groupBy("ticker", "is_megacap").agg(F.count(F.lit(1)).alias("filing_count"), F.array_sort(F.collect_list(entry)).alias("_l"))
-    item = lambda e: F.struct(e["id"].alias("id"), e["filed_date"].alias("filed_date"), e["impact"].alias("impact"))
-    return lists.select("ticker", "is_megacap", "filing_count", F.transform("_l", item).alias("filings")).orderBy(
-        F.desc("is_megacap"), "ticker"
-    )
+    counts = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("filing_count"))
+    return rows.join(counts, "ticker").orderBy(F.desc("is_megacap"), "ticker", F.desc("filed_date"), F.desc("impact"), "id")

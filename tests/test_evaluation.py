@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosstide.operators import ic as icm
-from crosstide.operators.asof import active_days, asof_forward, asof_join
+from crosstide.operators.asof import active_totals, asof_forward, asof_join
 from crosstide.operators.ranking import average_rank, ordinal_rank, running_total
 from crosstide.plans import backtests as bt
 
@@ -115,9 +115,11 @@ def test_forward_asof_steps(spark):
     assert same == {day(0): (1.0, 2.0), day(1): (1.0, 2.0), day(3): (4.0, 7.0), day(4): (4.0, 7.0), day(7): (7.0, None)}
 
 
-def test_active_days_are_inclusive(spark):
-    df = spark.createDataFrame([("a", day(0), day(2)), ("b", day(5), day(4))], "t string, s date, e date")
-    assert [(r["t"], r["date"]) for r in active_days(df, "s", "e").orderBy("date").collect()] == [("a", day(i)) for i in range(3)]
+def test_active_totals_are_inclusive_and_overlap(spark):
+    rows = [("a", day(0), day(2), 5), ("a", day(2), day(3), 7), ("a", day(6), day(6), 1), ("b", day(5), day(4), 9)]
+    df = spark.createDataFrame(rows, "t string, s date, e date, v int")
+    got = {(r["t"], r["date"]): r["v"] for r in active_totals(df, ["t"], "s", "e", ["v"]).collect()}
+    assert got == {("a", day(0)): 5, ("a", day(1)): 5, ("a", day(2)): 12, ("a", day(3)): 7, ("a", day(6)): 1}
 
 
 def test_every_nth_date_drops_last(spark):
