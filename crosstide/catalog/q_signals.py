@@ -137,9 +137,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    s = rk.with_cross_section(
-        sg.rs(inp.bars(spark, d), inp.edges(spark, d)).withColumn("signal", F.lit("rs")), ["signal"], "score", pooled=True
-    )
+    s = rk.with_cross_section(sg.rs(inp.bars(spark, d), inp.edges(spark, d)), [], "score", pooled=True)
     return s.select("ticker", "parent", "date", r8("pct_below").alias("pct_below"), "rank_desc")
 
 

@@ -79,7 +79,7 @@ def with_cross_section(df: DataFrame, keys: Sequence[str], col: str, pooled: boo
     if pooled:
         upto = running_total(valid, keys, [col], weight=F.col("_n"), out="_upto")
         sizes = valid.groupBy(*keys).agg(F.sum("_n").alias("n_valid"))
-        stats = upto.join(sizes, keys) if keys else upto.crossJoin(F.broadcast(sizes))
+        stats = upto.join(sizes, keys) if keys else upto.withColumn("n_valid", sizes.scalar())
     else:
         w = Window.partitionBy(*keys)
         stats = valid.withColumn("_upto", F.sum("_n").over(w.orderBy(col))).withColumn("n_valid", F.sum("_n").over(w))

@@ -340,19 +340,15 @@ def walk_forward(
     obs = walk_forward_obs(bars, edges, signal, horizon, lookback, start, end, parents, tickers)
     ics = ic_summary(spearman(obs, ["date"], "average", 5), [], ddof=0)
     perf = performance(period_returns(obs, rebalance_dates(bars, lookback, start, end)), horizon)
-    one = F.lit(1).alias("_one")
-    return (
-        perf.select("*", one)
-        .join(ics.select("*", one), "_one")
-        .select(
-            "n_periods",
-            "sharpe",
-            "max_drawdown",
-            F.col("n_dates").alias("n_ic"),
-            F.coalesce("ic_mean", F.lit(0.0)).alias("ic_mean"),
-            F.coalesce("ic_std", F.lit(0.0)).alias("ic_std"),
-            F.coalesce("ic_ir", F.lit(0.0)).alias("ic_ir"),
-        )
+    # one row each: the IC summary rides along as a scalar
+    ic = ics.select(F.struct("n_dates", "ic_mean", "ic_std", "ic_ir")).scalar()
+    zero = F.lit(0.0)
+    return perf.withColumn("_ic", ic).select(
+        "n_periods",
+        "sharpe",
+        "max_drawdown",
+        F.col("_ic.n_dates").alias("n_ic"),
+        *[F.coalesce(f"_ic.{c}", zero).alias(c) for c in ("ic_mean", "ic_std", "ic_ir")],
     )
 
 
