@@ -434,12 +434,11 @@ def aligned(spark, d):
 @query(
     "aligned_members",
     "W-21",
-    with_parts(f"SELECT ticker, date, {r8s('close')} AS close, volume, {r8s('b0')} AS bench_0, {r8s('b1')} AS bench_1 FROM aligned", "aligned"),
+    with_parts("SELECT ticker, date, close, volume, b0 AS bench_0, b1 AS bench_1 FROM aligned", "aligned"),
 )
 def _(spark, d):
-    return aligned(spark, d).select(
-        "ticker", "date", r8("close").alias("close"), "volume", r8("bench_0").alias("bench_0"), r8("bench_1").alias("bench_1")
-    )
+    # prices are ratios of integer sums: compared bit for bit, without rounding
+    return aligned(spark, d).select("ticker", "date", "close", "volume", "bench_0", "bench_1")
 
 
 def _hist(n: int) -> str:
