@@ -8,7 +8,6 @@ from crosstide.catalog import inputs as inp
 from crosstide.catalog.registry import query, r8
 from crosstide.catalog.sqlparts import W, part, r8s, ret_sql, with_parts
 from crosstide.operators import features as ft
-from crosstide.plans import signals as sg
 
 C = ("ticker", "date")
 

@@ -9,7 +9,6 @@ from crosstide.catalog import q_features, q_signals  # noqa: F401  (define share
 from crosstide.catalog.registry import query, r8
 from crosstide.catalog.sqlparts import part, r8s, with_parts
 from crosstide.functions import text as tx
-from crosstide.operators import ranking as rk
 from crosstide.sources import filings as fl
 from crosstide.sources import form4 as f4
 from crosstide.sources import tables as tb

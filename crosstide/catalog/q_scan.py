@@ -10,7 +10,6 @@ from crosstide.catalog import q_loads as ql
 from crosstide.catalog.q_signals import aligned, flags
 from crosstide.catalog.registry import query, r8
 from crosstide.catalog.sqlparts import W, part, r8s, ret_sql, with_parts
-from crosstide.operators import features as ft
 from crosstide.plans import insiders as ins
 from crosstide.plans import journal as jr
 from crosstide.plans import scan as sc
