@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from crosstide.llm import exact, fingerprint, lines
+from crosstide.llm import bpe, exact, fingerprint, langid, lines, minhash, packing
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_exact_dedup": exact.op2_exact_dedup,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_language_id": langid.op7_language_id,
     "op8_fingerprints": fingerprint.op8_fingerprints,
+    "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
 }
 SQL = {
     "op2_exact_dedup": exact.OP2_SQL,

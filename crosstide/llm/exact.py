@@ -33,10 +33,9 @@ def exact_duplicates(
     lengths = sized.groupBy("len").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("len")
     prefix = F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix")
     prefixes = (
-        sized.select("len", prefix)
-        .join(lengths, "len", "left_semi")
-        .groupBy("len", "prefix")
+        sized.groupBy("len", prefix)
         .agg(F.count(F.lit(1)).alias("n"))
+        .join(lengths, "len", "left_semi")
         .filter("n > 1")
         .select("len", "prefix", F.lit(True).alias("again"))
     )
