@@ -39,6 +39,7 @@ def exact_duplicates(
         .filter("n > 1")
         .select("len", "prefix", F.lit(True).alias("again"))
     )
+    prefixes = reliable_checkpoint(prefixes)  # so that the join deals both sides by the whole key and can split a hot one
     again = F.coalesce(F.col("again"), F.lit(False))
     hashed = (
         sized.select("id", "norm", "len", prefix)
@@ -52,6 +53,7 @@ def exact_duplicates(
         .agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
     )
+    groups = reliable_checkpoint(groups)
     keep = F.coalesce(F.col("keep"), F.col("id"))
     return hashed.join(groups, "sha", "left").select(
         F.col("id").alias(id_col),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosstide.llm.common import SPACE, ascii_lower, documents, sha256
+from crosstide.session import reliable_checkpoint
 
 
 def _eligible(lines: DataFrame, min_chars: int) -> DataFrame:
@@ -49,6 +50,7 @@ def drop_repeated_lines(
         .filter(F.col("n") >= min_docs)
         .drop("n")
     )
+    repeated = reliable_checkpoint(repeated)  # small; the join can then broadcast it or split a hot line
     drops = (
         eligible.join(repeated, ["h1", "h2"])
         .filter(F.col("id") != F.col("holder"))
