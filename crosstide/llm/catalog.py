@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from crosstide.llm import bpe, exact, fingerprint, langid, lines, minhash, packing, toxicity
+from crosstide.llm import bpe, exact, fingerprint, langid, lines, minhash, packing, secret_scan, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_exact_dedup": exact.op2_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_language_id": langid.op7_language_id,
     "op8_fingerprints": fingerprint.op8_fingerprints,
