@@ -20,6 +20,7 @@ def build_session(app: str = "crosstide", master: str | None = None, partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = (
@@ -33,19 +34,26 @@ def build_session(app: str = "crosstide", master: str | None = None, partitions:
     return b.getOrCreate()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master may fall
-    back to a scratch folder: on a cluster the files must outlive an executor.
+    Where that is unset, a scratch folder stands in for a purely local master, as in tests.
+    Any other master needs the setting: the files must outlive an executor.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not sc.master.startswith("local"):
+    folder = sc.getCheckpointDir()
+    if folder is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(configured)
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
