@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from crosstide.llm import bpe, exact, fingerprint, langid, lines, minhash, packing, secret_scan, toxicity
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op2_exact_dedup": exact.OP2_SQL,
