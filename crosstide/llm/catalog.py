@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from crosstide.llm import bpe, exact, fingerprint, langid, lines, minhash, packing, secret_scan, toxicity
+from crosstide.llm import bpe, chat, exact, fingerprint, langid, lines, minhash, packing, secret_scan, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
+    "op10_chat_format": chat.op10_chat_format,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
