@@ -35,7 +35,7 @@ def observe(line: Column) -> Column:
 
 
 def transcript_lines(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = None) -> DataFrame:
-    """Lines of transcripts: conv, turn, rh (hash of the row), pos, line, block and, if given, state.
+    """Lines of transcripts: conv, turn, rh (hash of the text), pos, line, block and, if given, state.
 
     Null text is one empty line. Rows that repeat a turn follow each other by their hash. Turns
     without a number come first.
@@ -43,7 +43,7 @@ def transcript_lines(turns: DataFrame, conv_col: str = "conv_id", turn_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     role = F.col(role_col) if role_col else F.lit(None).cast("string")
     rows = turns.select(
-        F.col(conv_col).alias("conv"), F.coalesce(F.col(turn_col), F.lit(-1)).cast("long").alias("turn"), F.xxhash64(role, text).alias("rh"), role.alias("role"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")
+        F.col(conv_col).alias("conv"), F.coalesce(F.col(turn_col), F.lit(-1)).cast("long").alias("turn"), F.xxhash64(text).alias("rh"), role.alias("role"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")
     )
     at = F.array_position(F.lit(ROLES), F.col("role")) - 1
     state = F.when(at >= 0, at * 2 + (F.col("pos") > 0).cast("int")).cast("int")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import documents, is_held_out
+from crosstide.llm.common import documents, is_held_out, per_worker
 
 DIMENSIONS = 1024
 N = 3
@@ -50,7 +50,9 @@ class Profiles:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         codes = np.where(letter, codes, 0)
         starts = np.concatenate(([True], letter[1:] | letter[:-1]))  # runs of other characters shrink to one
-        codes = np.concatenate(([0], codes[starts], [0])).astype(np.int64)
+        codes = codes[starts]
+        codes = codes[int(codes[0] == 0) : len(codes) - int(codes[-1] == 0)]
+        codes = np.concatenate(([0], codes, [0])).astype(np.int64)
         grams = codes[: -N + 1]
         for j in range(1, N):
             grams = (grams << 21) | codes[j : len(codes) - N + 1 + j]
@@ -90,7 +92,7 @@ def language_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str =
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles = Profiles(dimensions, seed)
+        profiles = per_worker(("profiles", dimensions, seed), lambda: Profiles(dimensions, seed))
         sums: dict[str, np.ndarray] = {}
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
@@ -139,7 +141,7 @@ def identify_languages(
     matrix = np.array([prototypes[l] for l in langs]).reshape(-1, dimensions)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles = Profiles(dimensions, seed)
+        profiles = per_worker(("profiles", dimensions, seed), lambda: Profiles(dimensions, seed))
         for batch in batches:
             names, scores = [], []
             for text in batch.column(1).to_pylist():

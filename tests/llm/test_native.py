@@ -1,0 +1,162 @@
+"""Exact dedup, line dedup, fingerprints and secret scan against plain Python."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def norm(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+def test_exact_duplicates(docs_of, edge_rows):
+    from crosstide.llm.exact import exact_duplicates
+
+    groups = defaultdict(list)
+    for i, t, *_ in edge_rows:
+        groups[norm(t)].append(i)
+    want = []
+    for t, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), i == keep, sha(t)) for i in ids]
+    got = [tuple(r) for r in exact_duplicates(docs_of(edge_rows), hash_all=True).collect()]
+    assert Counter(got) == Counter(want)
+    lazy = exact_duplicates(docs_of(edge_rows)).collect()
+    assert {r["doc_id"] for r in lazy if r["text_sha256"] is None} == {ids[0] for t, ids in groups.items() if len(ids) == 1}
+    assert exact_duplicates(docs_of([])).collect() == []
+
+
+def without_repeated_lines(rows, min_chars=20, min_docs=3):
+    key = lambda l: re.sub("[A-Z]", lambda m: m[0].lower(), l.strip(SPACE))
+    holders = defaultdict(set)
+    for i, t, *_ in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= min_chars and i is not None:
+                holders[key(line)].add(i)
+    out = []
+    for i, t, *_ in rows:
+        lines = (t or "").split("\n")
+        gone = [i is not None and len(h := holders.get(key(l), ())) >= min_docs and i != max(h) for l in lines]
+        out.append((i, len(lines), sum(gone), "\n".join(l for l, g in zip(lines, gone) if not g)))
+    return out
+
+
+def test_line_dedup(docs_of, edge_rows):
+    from crosstide.llm.lines import drop_repeated_lines
+
+    got = drop_repeated_lines(docs_of(edge_rows)).select("row.doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    want = without_repeated_lines(edge_rows)
+    assert sum(w[2] for w in want) > 4
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert drop_repeated_lines(docs_of([])).collect() == []
+
+
+def test_queries_match_sql(spark):
+    import duckdb
+
+    from crosstide.llm import catalog
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for name, sql in catalog.SQL.items():
+        got = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        want = con.sql(sql).fetchall()
+        cols = [c[0] for c in con.sql(sql).description]
+        assert Counter(tuple(r[c] for c in cols) for r in got.collect()) == Counter(want), name
+
+
+def shingles(text, words=5):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints(spark, docs_of, edge_rows, tmp_path):
+    from crosstide.llm import fingerprint as fp
+
+    rows = [r for r in dict.fromkeys(edge_rows) if r[0] is not None]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in fp.op8_fingerprints(spark, str(tmp_path)).collect()}
+    order = sorted(rows)
+    assert len(got) == len(rows)
+    prints = defaultdict(set)
+    for (i, t, *_), (_, nxt, *_) in zip(order, order[1:] + order[:1]):
+        t, nxt = t or "", nxt or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), sha(edited))
+        prints[t].add(r["fingerprint"])
+        assert len(r["fingerprint"]) == 16 * min(fp.K, len(shingles(t)))
+        assert len(r["edited_fingerprint"]) == 16 * min(fp.K, len(shingles(edited)))
+        for value, other in ((r["near_edited"], edited), (r["near_next"], nxt)):
+            exact = likeness(shingles(t), shingles(other))
+            assert abs(value - exact) < (1e-9 if len(shingles(t) | shingles(other)) <= fp.K else 0.2)
+    assert all(len(p) == 1 for p in prints.values())
+    docs_of([]).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert fp.op8_fingerprints(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_next_rows_with_ties_and_nulls(spark):
+    from crosstide.llm.fingerprint import with_next
+
+    rows = [(None, "n"), (3, "a"), (3, "b"), (1, "c"), (9, "d"), (9, "d")] + [(i, str(i)) for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "k long, v string")
+    for ranges in (1, 7, 100):
+        got = with_next(df, "k", ["v"], ranges).collect()
+        assert Counter(r["v"] for r in got) == Counter(v for _, v in rows)
+        assert Counter(r["next_v"] for r in got) == Counter(v for _, v in rows)
+        after = {r["v"]: r["next_v"] for r in got}
+        assert after["n"] == "c" and after["59"] == "n" and after["c"] in "ab" and after["20"] == "21"
+
+
+def test_sketches_merge_and_estimate(spark):
+    from crosstide.llm import fingerprint as fp
+
+    words = [f"w{i}" for i in range(3000)]
+    df = spark.createDataFrame([(" ".join(words[:2000]), " ".join(words[1000:]), " ".join(words))], "a string, b string, c string")
+    for c in "abc":
+        df = fp.add_sketch(df, c, f"s{c}")
+    a, b, c = F.col("sa"), F.col("sb"), F.col("sc")
+    r = df.select(
+        fp.resemblance(a, b).alias("j"), fp.containment(a, c).alias("inside"), fp.distinct_shingles(c).alias("n"), fp.resemblance(fp.merge_sketches(a, b), c).alias("merged")
+    ).first()
+    assert abs(r["j"] - 1 / 3) < 0.15 and abs(r["inside"] - 1) < 0.35 and abs(r["n"] - 2996) < 900 and r["merged"] > 0.95
+
+
+def test_secret_scan(docs_of):
+    from crosstide.llm import secret_scan as s
+
+    keys = [f"AKIA{i:04d}QWERTYUIOPAS" for i in range(30)]
+    rows = [(i, f"river stone\n{k} over the light and {4000000000000000 + i} harbour", "en", "src/test") for i, k in enumerate(keys)]
+    rows += [(100 + i, f'password=a1b2c3d4e5f6{i:06d} token = "{i:08d}ffeeddccbbaa99887766"', "en", None) for i in range(30)]
+    rows += [(200, None, None, None), (201, "", None, None), (None, keys[0], None, None), rows[3], (202, "x1" * 20_000, None, None), (203, "no secrets in here", "en", "a")]
+    docs = docs_of(rows)
+    judged = s.scan(docs, path_col="source").collect()
+    texts = defaultdict(list)
+    want = Counter()
+    for i, t, *_ in dict.fromkeys(rows):
+        texts[i].append(t or "")
+        for n, m in enumerate(re.finditer(s.CANDIDATE, t or "", re.A)):
+            want[(i, n, m.start(), m[0])] += 1
+    assert Counter((r["id"], r["ordinal"], r["start"], r["candidate"]) for r in judged) == want
+    for r in judged:
+        if r["label"] is not None:
+            assert r["is_secret"] == bool(r["label"])
+    clean = s.redact(docs, s.scan(docs, path_col="source")).select("row.doc_id", "clean_text").collect()
+    by_id = {r["doc_id"]: r["clean_text"] for r in clean}
+    assert len(clean) == len(rows) and by_id[200] is None and by_id[203] == rows[-1][1]
+    assert by_id[4] == f"river stone\n{s.MASK} over the light and {4000000000000004} harbour"
+    assert by_id[101].startswith(f"password={s.MASK} token = \"{s.MASK}\"")
+    assert s.scan(docs_of([])).collect() == []
