@@ -25,8 +25,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Narrow rows spread over all cores before heavy per-row text is built from them."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    """Narrow rows spread over the partitions that the session sets for its data, before heavy per-row text is built from them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def series(spark: SparkSession, d: str, *levels: str) -> DataFrame:

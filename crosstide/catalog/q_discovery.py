@@ -36,8 +36,8 @@ def _case(col: str, values: dict[str, str]) -> str:
 _TEMPLATES = {
     "1-URGENT": "We sell parts. {n} accounted for approximately {p}% of our total revenue this year. {c} Other text.",
     "2-HIGH": "We sell parts. Some {p} % of net revenue was derived from {n}, in total. {c} More text.",
-    "3-MEDIUM": "We sell parts! {n}  represented {p}% of net revenue. {c} More text.",
-    "4-NOT SPECIFIED": "Customers:\n| Name | Share |\n | {n} | {p} % | yes |\n{c} More text.",
+    "3-MEDIUM": "We sell parts!\u00a0{n}\u00a0 represented\u2003{p}% of net revenue. {c} More text.",
+    "4-NOT SPECIFIED": "Customers:\n| Name | Share |\f | {n} | {p} % | yes |\n{c} More text.",
     "5-LOW": "We sell parts? {n} was responsible for {p}% of our revenue. {c} A revenue concentration of 55% from Tesla Inc, is high.",
 }
 
@@ -78,23 +78,28 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 )
 
 
+WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}]"
+LINE_ENDS = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+
+
 def _rx(p: str) -> str:
-    return p.replace("'", "''")
+    # the engine that checks knows only ASCII white space as \\s
+    return p.replace("'", "''").replace(r"\s", WHITE)
 
 
 def _ex(col: str, p: str, k: int) -> str:
     return f"nullif(regexp_extract({col}, '{_rx(p)}', {k}, 'i'), '')"
 
 
-_SPLIT = "string_split(regexp_replace({t}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+_SPLIT = "string_split(regexp_replace({t}, '([.!?])" + WHITE + "+', '\\1' || chr(1), 'g'), chr(1))"
 part(
     "hits",
     f"""
-SELECT ticker, accession_number, pass, position, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS name, CAST(pct AS DOUBLE) AS pct FROM (
+SELECT ticker, accession_number, pass, position, trim(regexp_replace(name, '{WHITE}+', ' ', 'g')) AS name, CAST(pct AS DOUBLE) AS pct FROM (
  SELECT ticker, accession_number, 1 AS pass, i - 1 AS position, {_ex('line', dc.TABLE_ROW_PATTERN, 1)} AS name, {_ex('line', dc.TABLE_ROW_PATTERN, 2)} AS pct
- FROM (SELECT *, unnest(string_split(txt, chr(10))) AS line, generate_subscripts(string_split(txt, chr(10)), 1) AS i FROM (SELECT *, concat_ws(chr(10) || chr(10), business, nullif(risk_factors, '')) AS txt FROM docs))
+ FROM (SELECT *, unnest(string_split(regexp_replace(txt, '{LINE_ENDS}', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(txt, '{LINE_ENDS}', chr(10), 'g'), chr(10)), 1) AS i FROM (SELECT *, concat_ws(chr(10) || chr(10), business, nullif(risk_factors, '')) AS txt FROM docs))
  UNION ALL SELECT ticker, accession_number, 2, i - 1, coalesce({', '.join(_ex('s', p, n) for p, n, _ in dc.CONCENTRATION_PATTERNS)}), coalesce({', '.join(_ex('s', p, k) for p, _, k in dc.CONCENTRATION_PATTERNS)})
- FROM (SELECT *, unnest({_SPLIT.format(t='txt')}) AS s, generate_subscripts({_SPLIT.format(t='txt')}, 1) AS i FROM (SELECT *, concat_ws(chr(10) || chr(10), business, nullif(risk_factors, '')) AS txt FROM docs)))
+ FROM (SELECT *, unnest({_SPLIT.replace('{t}', 'txt')}) AS s, generate_subscripts({_SPLIT.replace('{t}', 'txt')}, 1) AS i FROM (SELECT *, concat_ws(chr(10) || chr(10), business, nullif(risk_factors, '')) AS txt FROM docs)))
 WHERE name IS NOT NULL AND CAST(pct AS DOUBLE) >= 10""",
     "docs",
 )
@@ -185,7 +190,7 @@ SELECT ticker, accession_number, pass, position, name, pct, CASE WHEN by_cache I
 FROM (SELECT *, {_clue_counts()} AS best FROM (
  SELECT *, CASE WHEN hit_at > 0 THEN lower(array_to_string(list_slice(ss, greatest(hit_at - 1, 1), least(len(ss), hit_at + 3)), ' ')) ELSE '' END AS win FROM (
  SELECT h.*, c.resolved_parent AS cached, c.resolved_by AS by_cache, ss, coalesce(list_position(list_transform(ss, lambda x: contains(lower(x), lower(h.name))), TRUE), 0) AS hit_at
- FROM hits h JOIN (SELECT ticker, accession_number, {_SPLIT.format(t="(business || chr(10) || chr(10) || risk_factors)")} AS ss FROM docs) d USING (ticker, accession_number)
+ FROM hits h JOIN (SELECT ticker, accession_number, {_SPLIT.replace('{t}', '(business || chr(10) || chr(10) || risk_factors)')} AS ss FROM docs) d USING (ticker, accession_number)
  LEFT JOIN (SELECT * FROM res_cache WHERE resolved_by <> 'unresolved') c ON c.ticker = h.ticker AND c.accession_number = h.accession_number AND c.placeholder = h.name
  WHERE {_alias_sql('h.name')} IS NULL AND ({_HOLDER.replace('(name)', '(h.name)')}))))""",
     "hits",

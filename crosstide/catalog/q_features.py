@@ -97,7 +97,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return ft.with_streak(inp.bars(spark, d)).select(*C, F.col("days_above").cast("long"))
+    return ft.with_streak(inp.bars(spark, d), cap=51).select(*C, F.col("days_above").cast("long"))
 
 
 @query(

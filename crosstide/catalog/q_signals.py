@@ -34,6 +34,35 @@ def _(spark, d):
     return gr.dependents(inp.edges(spark, d), "NATION_1").select("child", "weight")
 
 
+@query(
+    "graph_parents",
+    "G-26",
+    with_parts("SELECT parent, weight FROM edges WHERE child = 'NATION_7'", "edges"),
+)
+def _(spark, d):
+    return gr.parents(inp.edges(spark, d), "NATION_7").select("parent", "weight")
+
+
+@query(
+    "graph_edge_weight",
+    "G-26",
+    with_parts("SELECT parent, child, weight FROM edges WHERE parent = 'NATION_2' AND child = 'NATION_7' ORDER BY position LIMIT 1", "edges"),
+)
+def _(spark, d):
+    return gr.edge_weight(inp.edges(spark, d), "NATION_2", "NATION_7")
+
+
+@query(
+    "graph_loaded_edges",
+    "S-05",
+    with_parts("SELECT parent, child, weight FROM edges", "edges"),
+)
+def _(spark, d):
+    # an edge list is configuration: a few rows per ticker pair, read from a file by its owner
+    rows = [r.asDict() | {"type": r["edge_type"]} for r in inp.edges(spark, d).collect()]
+    return gr.load_edges(spark, rows).select("parent", "child", "weight")
+
+
 @query(
     "graph_best_parent",
     "G-26",

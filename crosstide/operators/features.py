@@ -129,8 +129,8 @@ def with_realized_vol(bars: DataFrame, n: int = 20, out: str = "vol_20d") -> Dat
     )
 
 
-def with_streak(bars: DataFrame, n: int = 50, cap: int = 51, out: str = "days_above") -> DataFrame:
-    """Consecutive rows, today included, above the ``n``-row average, at most ``cap``.
+def with_streak(bars: DataFrame, n: int = 50, cap: int | None = None, out: str = "days_above") -> DataFrame:
+    """Consecutive rows, today included, above the ``n``-row average, at most ``cap`` if given.
 
     Gaps and islands: the distance to the latest row that was not above.
     """
@@ -138,9 +138,8 @@ def with_streak(bars: DataFrame, n: int = 50, cap: int = 51, out: str = "days_ab
     last_break = F.max(F.when(~F.col("_above"), F.col("_pos"))).over(
         per_ticker().rowsBetween(Window.unboundedPreceding, 0)
     )
-    return flagged.withColumn(
-        out, F.least(F.lit(cap), F.col("_pos") - F.coalesce(last_break, F.lit(0)))
-    ).drop("_above", "_pos")
+    streak = F.col("_pos") - F.coalesce(last_break, F.lit(0))
+    return flagged.withColumn(out, streak if cap is None else F.least(F.lit(cap), streak)).drop("_above", "_pos")
 
 
 def with_hist_pct(bars: DataFrame, n: int, history: int = 252, out: str | None = None) -> DataFrame:

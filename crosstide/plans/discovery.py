@@ -32,8 +32,9 @@ PLACEHOLDER_PATTERNS = (
     r"^(?:our\s+)?(?:largest|primary|key|significant)\s+customer$",
     r"^(?:one|a)\s+(?:large|major)\s+customer$",
 )
-SENTENCE_END = r"(?<=[.!?])\s+"
-LINE_END = r"\r\n|\n|\r"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+"
+# white space and line ends are those of Unicode: filings are full of no-break spaces and form feeds
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 PARENT_ALIASES = {
     "NVDA": ["NVIDIA", "NVIDIA Corporation", "NVIDIA Corp"],
@@ -83,7 +84,7 @@ PROMOTED_WEIGHT = 0.3
 
 
 def _group(text: Column, pattern: str, k: int) -> Column:
-    return F.nullif(F.regexp_extract(text, "(?i)" + pattern, k), F.lit(""))
+    return F.nullif(F.regexp_extract(text, "(?iU)" + pattern, k), F.lit(""))
 
 
 def table_rows(text: Column) -> Column:
@@ -145,7 +146,7 @@ def extract_hits(docs: DataFrame, min_pct: float = MIN_PCT) -> DataFrame:
         "accession_number",
         F.col("_h.pass").alias("pass"),
         F.col("_h.position").alias("position"),
-        F.trim(F.regexp_replace("_h.name", r"\s+", " ")).alias("name"),
+        F.trim(F.regexp_replace("_h.name", r"(?U)\s+", " ")).alias("name"),
         F.col("_h.pct").alias("pct"),
         split_sentences(F.col("_all")).alias("sentences"),
     )

@@ -81,26 +81,24 @@ def dedupe_text(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
 
     An aggregate with partial results: copies of a frequent text collapse before the shuffle.
     """
-    first = df.groupBy(F.lower(text).alias("_key")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    first = df.groupBy(F.sha2(F.lower(text), 256).alias("_key")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
     return first.select("_row.*")
 
 
 # ---- scans --------------------------------------------------------------------------
 
-# enough rows for the longest lookback of a scan: 51 days of streak over a 50-row average,
-# and 61 prices for betas
-SCAN_ROWS = 121
+# fixed value: the scans report no longer streak than this
+STREAK_CAP = 51
 
 
-def recent_rows(bars: DataFrame, as_of, n: int = SCAN_ROWS) -> DataFrame:
-    """The newest ``n`` rows per ticker on or before ``as_of``: the input of a one-date scan."""
-    past = bars.filter(F.col("date") <= F.lit(as_of).cast("date"))
-    return top_n(past, ["ticker"], [F.desc("date")], n).drop("rn")
+def history(bars: DataFrame, as_of) -> DataFrame:
+    """All rows on or before ``as_of``: lookbacks of a one-date scan may be of any length."""
+    return bars.filter(F.col("date") <= F.lit(as_of).cast("date"))
 
 
 def snapshot(bars: DataFrame, as_of) -> DataFrame:
     """All scan features of each ticker's last row on or before ``as_of``."""
-    feats = ft.with_streak(recent_rows(bars, as_of)).select(
+    feats = ft.with_streak(history(bars, as_of), cap=STREAK_CAP).select(
         "ticker",
         "date",
         F.col(ft.PRICE).alias("price"),
@@ -165,8 +163,8 @@ def scored_pairs(bars: DataFrame, edges: DataFrame, as_of) -> DataFrame:
 
 
 def _rank_all(rows: DataFrame) -> DataFrame:
-    """Cross-section of one scan date, keyed by a constant."""
-    return with_cross_section(rows.withColumn("_all", F.lit(0)), ["_all"], "rs_score").drop("_all")
+    """Cross-section of one scan date, which is ranked across partitions."""
+    return with_cross_section(rows.withColumn("_all", F.lit(0)), ["_all"], "rs_score", pooled=True).drop("_all")
 
 
 def scan(
@@ -186,13 +184,13 @@ def scan(
     rows = regime_gate(rows, regimes, validated)
     rows = top_bottom(rows, ["parent"], "rs_score", 3)
     adjusted = rs_beta_adjusted(
-        recent_rows(bars, as_of),
+        history(bars, as_of),
         edges.select(F.col("child").alias("ticker"), "parent").distinct(),
-        recent_rows(market, as_of),
+        history(market, as_of),
         dates=one_date(bars, as_of),
     ).select("ticker", "parent", "rs_adj")
     rows = rows.join(adjusted, ["ticker", "parent"], "left")
-    z = basket_zscore(recent_rows(bars, as_of), baskets, dates=one_date(bars, as_of)).select("ticker", F.col("z").alias("z_score"))
+    z = basket_zscore(history(bars, as_of), baskets, dates=one_date(bars, as_of)).select("ticker", F.col("z").alias("z_score"))
     rows = _enriched(rows, trades, estimates, events, as_of).join(z, "ticker", "left")
     buying = F.coalesce("buy_count", F.lit(0)) > 0
     return rows.select(
@@ -259,7 +257,7 @@ def theme_scan(
     rows = rows.withColumn("rs_score", F.col("ret_20d") - F.col("_b")).withColumn(
         "rs_trend", _arrow(F.col("rs_score"), F.col("ret_20d_prev") - F.col("_bp"))
     )
-    z = basket_zscore(recent_rows(bars, as_of), baskets, dates=one_date(bars, as_of)).select("ticker", F.col("z").alias("z_score"))
+    z = basket_zscore(history(bars, as_of), baskets, dates=one_date(bars, as_of)).select("ticker", F.col("z").alias("z_score"))
     rows = _enriched(rows, trades, estimates, events, as_of).join(z, "ticker", "left")
     buying = F.coalesce("buy_count", F.lit(0)) > 0
     days = F.coalesce("days_above_50ma", F.lit(0))

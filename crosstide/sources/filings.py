@@ -11,7 +11,6 @@ from crosstide.sources.tables import new_rows
 
 # fixed values: issuers that file annual reports of another form instead
 FOREIGN_FILERS = ("TSM", "ASML", "STM", "SAP")
-CLASSIFIED_CHARS = 500  # the impact rule reads this much of a filing, by definition
 SHELF_TEMPLATE = (
     "%s filed Form S-3 shelf registration. "
     "This signals potential upcoming capital raise which may be dilutive to existing shareholders."
@@ -35,7 +34,7 @@ def event_filings(landed: DataFrame, cutoff, foreign=FOREIGN_FILERS) -> DataFram
         "accession_number",
         F.lit("8-K").alias("form_type"),
         F.array_join("_items", ",").alias("item_numbers"),
-        filing_impact(F.col("_items"), F.lit(""), F.substring("text", 1, CLASSIFIED_CHARS), F.lit("8-K")).alias("impact"),
+        filing_impact(F.col("_items"), F.lit(""), F.coalesce("text", F.lit("")), F.lit("8-K")).alias("impact"),
         none.alias("summary"),
         none.alias("sentiment"),
     )
