@@ -500,15 +500,14 @@ SELECT * FROM {halves_sql(f"(SELECT theme, variant, date, position, half, fwd, C
     "beta_variant_ics",
     "I-19 I-17",
     with_parts(
-        f"""SELECT theme, variant, n, {r8s('ic', 5)} AS ic, {r8s('ic_h1', 5)} AS ic_h1, {r8s('ic_h2', 5)} AS ic_h2 FROM (SELECT * FROM variant_ic WHERE variant <> 'blume')""",
+        f"""SELECT theme, variant, n, {r8s('ic', 5)} AS ic, {r8s('ic_h1', 5)} AS ic_h1, {r8s('ic_h2', 5)} AS ic_h2 FROM variant_ic""",
         "variant_ic",
     ),
 )
 def _(spark, d):
     own, market = split(spark, d)
     v = rs.beta_variant_ics(rs.blume_signals(own, baskets(spark, d), market))
-    # z of a shrunken beta equals z of the beta up to rounding, so its ordinal ties are not comparable
-    return v.filter("variant <> 'blume'").select("theme", "variant", "n", *[r8(c, 5).alias(c) for c in ("ic", "ic_h1", "ic_h2")])
+    return v.select("theme", "variant", "n", *[r8(c, 5).alias(c) for c in ("ic", "ic_h1", "ic_h2")])
 
 
 @query(
@@ -516,14 +515,14 @@ def _(spark, d):
     "I-19 I-17",
     with_parts(
         f"""WITH w AS (SELECT v.theme, arg_max(v.variant, v.ic) AS winner, max(v.ic) - max(CASE WHEN v.variant = 'base' THEN v.ic END) AS gain,
-  coalesce(arg_max(v.ic_h2, v.ic) > max(CASE WHEN v.variant = 'base' THEN v.ic_h2 END), FALSE) AS up FROM variant_ic v WHERE v.variant <> 'blume' AND v.ic IS NOT NULL GROUP BY 1)
+  coalesce(arg_max(v.ic_h2, v.ic) > max(CASE WHEN v.variant = 'base' THEN v.ic_h2 END), FALSE) AS up FROM variant_ic v WHERE v.ic IS NOT NULL GROUP BY 1)
 SELECT {r8s('avg(gain)', 5)} AS mean_gain, count(*) FILTER (up) AS h2_improved, count(*) AS n_baskets, CASE WHEN count(*) = 0 THEN 'INSUFFICIENT DATA' WHEN avg(gain) > 0.01 AND count(*) FILTER (up) >= count(*) / 2 THEN 'YES' ELSE 'NO' END AS verdict FROM w""",
         "variant_ic",
     ),
 )
 def _(spark, d):
     own, market = split(spark, d)
-    v = rs.beta_variant_ics(rs.blume_signals(own, baskets(spark, d), market)).filter("variant <> 'blume'")
+    v = rs.beta_variant_ics(rs.blume_signals(own, baskets(spark, d), market))
     return rs.beta_variant_recommendation(v)[1].withColumn("mean_gain", r8("mean_gain", 5))
 
 

@@ -279,13 +279,20 @@ def news(spark, d):
     "news_rows",
     "S-18 S-03",
     with_parts(
-        "SELECT ticker, published_date, title, arg_min(sentiment, article_url) AS sentiment, min(article_url) AS article_url FROM news GROUP BY 1, 2, 3",
+        """SELECT ticker, published_date, title, CASE WHEN count(*) FILTER (article_url LIKE '%3') > 0 THEN 'stored' ELSE arg_min(sentiment, article_url) END AS sentiment,
+  coalesce(min(article_url) FILTER (article_url LIKE '%3'), min(article_url)) AS article_url FROM news GROUP BY 1, 2, 3""",
         "news",
     ),
 )
 def _(spark, d):
     rows, _raw = news(spark, d)
-    return tb.insert_ignore(rows.limit(0), rows, ["ticker", "published_date", "title"], ["article_url"])
+    return tb.insert_ignore(stored_news(rows), rows, ["ticker", "published_date", "title"], ["article_url"])
+
+
+def stored_news(rows):
+    """Rows that an earlier load has left, with an own sentiment: a later load must not replace them."""
+    old = rows.filter("article_url LIKE '%3'").groupBy("ticker", "published_date", "title").agg(F.min("article_url").alias("article_url"))
+    return old.withColumn("sentiment", F.lit("stored")).select(*rows.columns)
 
 
 @query(
@@ -301,7 +308,7 @@ def _(spark, d):
     from crosstide.plans.scan import news_feed
 
     rows, _raw = news(spark, d)
-    stored = tb.insert_ignore(rows.limit(0), rows, ["ticker", "published_date", "title"], ["article_url"])
+    stored = tb.insert_ignore(stored_news(rows), rows, ["ticker", "published_date", "title"], ["article_url"])
     return news_feed(stored, "2024-01-28").select("ticker", "published_date", "title", "rn")
 
 
@@ -324,9 +331,9 @@ def _(spark, d):
     "journal_migration",
     "S-19 X-08",
     with_parts(
-        f"""SELECT transaction_date AS scan_date, ticker, insider_title AS parent, total_value AS price, CAST(rs AS DOUBLE) AS rs_score, CASE WHEN ok THEN CAST(rs % 40 AS INTEGER) END AS earnings_days
-FROM (SELECT *, CAST(accession_number AS BIGINT) % 97 AS rs, CAST(accession_number AS BIGINT) % 3 <> 0 AS ok FROM trades)
-QUALIFY row_number() OVER (PARTITION BY transaction_date, ticker, insider_title ORDER BY CAST(accession_number AS BIGINT)) = 1""",
+        f"""SELECT transaction_date AS scan_date, ticker, insider_title AS parent, CASE WHEN old THEN -1.0 ELSE total_value END AS price, CAST(rs AS DOUBLE) AS rs_score, CASE WHEN ok THEN CAST(rs % 40 AS INTEGER) END AS earnings_days
+FROM (SELECT *, CAST(accession_number AS BIGINT) % 97 AS rs, CAST(accession_number AS BIGINT) % 3 <> 0 AS ok, CAST(accession_number AS BIGINT) % 5 = 0 AS old FROM trades)
+QUALIFY row_number() OVER (PARTITION BY transaction_date, ticker, insider_title ORDER BY old DESC, CAST(accession_number AS BIGINT)) = 1""",
         "trades",
     ),
 )
@@ -357,14 +364,18 @@ def journal_sheet(spark, d):
 
 
 def stored_journal(spark, d):
-    return tb.parse_journal(journal_sheet(spark, d)).limit(0)
+    """Rows that an earlier migration has left, with an own price."""
+    old = tb.parse_journal(journal_sheet(spark, d), ["position"]).filter("position % 5 = 0")
+    first = old.groupBy("scan_date", "ticker", "parent").agg(F.min_by(F.struct(*old.columns), "position").alias("r")).select("r.*")
+    return first.withColumn("price", F.lit(-1.0)).drop("position")
 
 
 @query(
     "journal_migration_counts",
     "S-19",
     with_parts(
-        "SELECT count(DISTINCT (transaction_date, ticker, insider_title)) AS inserted, count(*) - count(DISTINCT (transaction_date, ticker, insider_title)) AS skipped FROM trades",
+        """WITH k AS (SELECT count(*) AS n, count(*) FILTER (CAST(accession_number AS BIGINT) % 5 = 0) AS old FROM trades GROUP BY transaction_date, ticker, insider_title)
+SELECT count(*) FILTER (old = 0) AS inserted, CAST(sum(n) - count(*) FILTER (old = 0) AS BIGINT) AS skipped FROM k""",
         "trades",
     ),
 )

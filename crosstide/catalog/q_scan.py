@@ -364,6 +364,22 @@ def _(spark, d):
     return j.select("scan_date", "ticker", "parent", "parent_regime", "price", r8("rs_score").alias("rs_score"), "rank", "action_label", "confirm", "insider_annotation", "notes")
 
 
+@query(
+    "recaptured_journal",
+    "G-24",
+    with_parts(
+        "SELECT 'skip' AS mode, scan_date, ticker, parent, 'kept' AS notes FROM journal UNION ALL SELECT 'force', scan_date, ticker, parent, notes FROM journal",
+        "journal",
+    ),
+)
+def _(spark, d):
+    rows = scan(spark, d)
+    before = jr.journal_rows(rows).withColumn("notes", F.lit("kept"))
+    modes = [(F.lit("skip"), jr.capture_journal(rows, before)), (F.lit("force"), jr.capture_journal(rows, before, force=True))]
+    skip, force = [j.select(m.alias("mode"), "scan_date", "ticker", "parent", "notes") for m, j in modes]
+    return skip.union(force)
+
+
 @query(
     "restored_scan",
     "S-20 X-12",
