@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +35,11 @@ def ascii_lower(c: Column) -> Column:
 
 def sha256(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
+
+
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """An object that a Python worker process makes once and keeps from task to task, such as a vocabulary."""
+    kept = sys.modules.setdefault("_crosstide_worker", types.ModuleType("_crosstide_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import documents
+from crosstide.llm.common import documents, per_worker
 from crosstide.session import reliable_checkpoint
 
 LIMIT = 4096
@@ -38,10 +38,30 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, np.bool_)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _stems(self, stems: list[str]) -> None:
+        """Puts the ids of new stems into the cache. Plain words, each of which has one word end, share a call."""
+        plain = [s for s in stems if s.isalpha() and (s.isascii() or max(s) < "\u0100")]
+        for i in range(0, len(plain), 2_000):
+            words = plain[i : i + 2_000]
+            ids = self._whole([" ".join(words)])[0]
+            stops = (np.flatnonzero(self.ends_word[np.frombuffer(ids, "<u4")]) + 1) * 4
+            if len(stops) != len(words) or stops[-1] != len(ids):
+                raise ValueError("the tokenizer does not mark word ends")
+            start = 0
+            for word, stop in zip(words, stops.tolist()):
+                self.cache[word] = ids[start:stop]
+                start = stop
+        other = list(set(stems).difference(self.cache))
+        for i in range(0, len(other), 2_000):
+            self.cache.update(zip(other[i : i + 2_000], self._whole(other[i : i + 2_000])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") or "<|" in t for t in texts]
@@ -56,9 +76,7 @@ class WordTokenizer:
         for word in new:
             stem = word.lower() if word.isascii() or max(word) < "\u0100" else word
             forms[word] = (stem[:-1], stem[-1]) if stem[-1] in ".," and stem[:-1].isalpha() else (stem, "")
-        stems = list({x for pair in forms.values() for x in pair if x}.difference(cache))
-        for i in range(0, len(stems), 10_000):
-            cache.update(zip(stems[i : i + 10_000], self._whole(stems[i : i + 10_000])))
+        self._stems(list({x for pair in forms.values() for x in pair if x}.difference(cache)))
         for word, (stem, stop) in forms.items():
             cache[word] = cache[stem] + (cache[stop] if stop else b"")
         return [self._whole([t])[0] if o else b"".join(map(cache.__getitem__, w)) for t, o, w in zip(texts, odd, words)]
@@ -194,13 +212,14 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = per_worker(("words", tokenizer_path), lambda: WordTokenizer(tokenizer_path))
         part = TaskContext.get().partitionId()
         numbers: Counter[int] = Counter()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple[int, ...]] = []
-            for row, ids in enumerate(tokenizer.encode([t or "" for t in batch.column(1).to_pylist()])):
+            slices = (batch.column(1).slice(i, 200).to_pylist() for i in range(0, batch.num_rows, 200))
+            for row, ids in enumerate(chain.from_iterable(tokenizer.encode([t or "" for t in texts]) for texts in slices)):
                 ids += end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, limit)):
