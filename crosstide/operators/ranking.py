@@ -75,14 +75,22 @@ def with_cross_section(df: DataFrame, keys: Sequence[str], col: str, pooled: boo
     cross-sections too large for one task.
     """
     keys = list(keys)
+    if not pooled:
+        group = Window.partitionBy(*keys)
+        upward = group.orderBy(F.col(col).asc_nulls_last())
+        n, known = F.count(col).over(group), F.col(col).isNotNull()
+        below, upto = F.rank().over(upward) - 1, F.count(col).over(upward)  # equal values are peers
+        return df.withColumns(
+            {
+                "pct_below": F.when(known, below / n.cast("double")),
+                "rank_desc": F.when(known, n - upto + 1),
+                "n_valid": F.when(known, n),
+            }
+        )
     valid = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
-    if pooled:
-        upto = running_total(valid, keys, [col], weight=F.col("_n"), out="_upto")
-        sizes = valid.groupBy(*keys).agg(F.sum("_n").alias("n_valid"))
-        stats = upto.join(sizes, keys) if keys else upto.withColumn("n_valid", sizes.scalar())
-    else:
-        w = Window.partitionBy(*keys)
-        stats = valid.withColumn("_upto", F.sum("_n").over(w.orderBy(col))).withColumn("n_valid", F.sum("_n").over(w))
+    stats = running_total(valid, keys, [col], weight=F.col("_n"), out="_upto")
+    sizes = valid.groupBy(*keys).agg(F.sum("_n").alias("n_valid"))
+    stats = stats.join(sizes, keys) if keys else stats.withColumn("n_valid", sizes.scalar())
     stats = stats.select(
         *keys,
         col,
@@ -137,36 +145,23 @@ def in_correction(r: Column) -> Column:
 
 
 def xs_zscore(df: DataFrame, keys: Sequence[str], col: str, out: str = "z", min_members: int = 3) -> DataFrame:
-    """Population z-score within a group; NULL for small or constant groups.
-
-    Group moments come from a partial aggregate and join back, so no task holds a group.
-    """
-    keys = list(keys)
-    moments = df.groupBy(*keys).agg(
-        F.avg(col).alias("_mean"), F.stddev_pop(col).alias("_std"), F.count(col).alias("_members")
-    )
-    z = F.when(
-        F.col("_members") >= min_members, (F.col(col) - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0))
-    )
-    return df.join(moments, keys, "left").withColumn(out, z).drop("_mean", "_std", "_members")
+    """Population z-score within a group of bounded size, such as a basket on a date; NULL for small or constant groups."""
+    group = Window.partitionBy(*keys)
+    members = F.count(col).over(group)
+    spread = F.nullif(F.stddev_pop(col).over(group), F.lit(0.0))
+    return df.withColumn(out, F.when(members >= min_members, (F.col(col) - F.avg(col).over(group)) / spread))
 
 
 def xs_minmax(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prefix: str = "norm_") -> DataFrame:
-    """Min-max scaling within a group; a flat group gives 0.5."""
-    keys = list(keys)
-    ends = df.groupBy(*keys).agg(
-        *[F.min(c).alias(f"_lo_{c}") for c in cols], *[F.max(c).alias(f"_hi_{c}") for c in cols]
-    )
-    out = df.join(ends, keys, "left")
-    for c in cols:
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        out = out.withColumn(
-            prefix + c,
-            F.when(F.col(c).isNull(), F.lit(None).cast("double"))
-            .when(lo == hi, 0.5)
-            .otherwise((F.col(c) - lo) / F.nullif(hi - lo, F.lit(0.0))),
-        ).drop(f"_lo_{c}", f"_hi_{c}")
-    return out
+    """Min-max scaling within a group of bounded size; a flat group gives 0.5."""
+    group = Window.partitionBy(*keys)
+
+    def scaled(c: str) -> Column:
+        lo, hi = F.min(c).over(group), F.max(c).over(group)
+        known = F.when(lo == hi, 0.5).otherwise((F.col(c) - lo) / F.nullif(hi - lo, F.lit(0.0)))
+        return F.when(F.col(c).isNotNull(), known)
+
+    return df.withColumns({prefix + c: scaled(c) for c in cols})
 
 
 def mean_non_null(*cols: Column) -> Column:
