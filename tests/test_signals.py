@@ -103,8 +103,10 @@ def test_moving_average_excludes_today(bars_of):
 def test_streak_stops_at_break_and_is_capped(bars_of):
     up = [100 + i for i in range(120)]
     b = bars_of(U=up, D=up[:60] + [1] + up[61:70])
-    df = ft.with_streak(b)
+    df = ft.with_streak(b, cap=51)
     assert last(df, "days_above", "U") == 51 and last(df, "days_above", "D") == 9
+    free = ft.with_streak(b)
+    assert last(free, "days_above", "U") == 70 and last(free, "days_above", "D") == 9
 
 
 def test_range_position_and_flat_range(bars_of):
