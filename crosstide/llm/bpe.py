@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -13,11 +13,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import documents
+from crosstide.llm.common import documents, per_worker
 
 NO_RANK = 1 << 60
 #: Entries a worker keeps at most per cache, so its memory is bounded.
-CACHE = 400_000
+CACHE = 300_000
 #: A white-space character before or after which a cut at a plain space would change the pattern's matches.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
 
@@ -28,6 +28,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class _Recent(dict):
+    """Results of ``make`` for short strings. When it is full, what has not been asked for since the last time goes."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> object:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class SegmentTreeBpe:
     """Encoder and decoder for one vocabulary and split pattern.
 
@@ -43,8 +62,8 @@ class SegmentTreeBpe:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[str, list[int]]] = {}
+        self.pieces = _Recent(self._encode_piece)
+        self.chunks = _Recent(self._encode_chunk)
 
     def encode_bytes(self, piece: bytes) -> list[int]:
         """Token ids of one match of the pattern; a whole piece that is a token is that token."""
@@ -100,26 +119,12 @@ class SegmentTreeBpe:
             i = end[i]
         return ids
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.encode_bytes(piece.encode())
-            if len(piece) <= 64:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
+    def _encode_piece(self, piece: str) -> list[int]:
+        return self.encode_bytes(piece.encode())
 
-    def _chunk(self, chunk: str) -> tuple[str, list[int]]:
-        found = self.chunks.get(chunk)
-        if found is None:
-            ids = list(chain.from_iterable(map(self._piece, self.pattern.findall(chunk))))
-            found = (" ".join(map(str, ids)), ids)
-            if len(chunk) <= 64:
-                if len(self.chunks) >= CACHE:
-                    self.chunks.clear()
-                self.chunks[chunk] = found
-        return found
+    def _encode_chunk(self, chunk: str) -> tuple[str, list[int]]:
+        ids = list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(chunk))))
+        return " ".join(map(str, ids)), ids
 
     def encode_joined(self, text: str) -> tuple[str, list[int]]:
         """Decimal ids joined by a space, and the ids.
@@ -132,7 +137,7 @@ class SegmentTreeBpe:
         else:
             first, *rest = text.split(" ")
             chunks = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        found = list(map(self._chunk, chunks)) if text else []
+        found = list(map(self.chunks.__getitem__, chunks)) if text else []
         return " ".join([x[0] for x in found]), list(chain.from_iterable([x[1] for x in found]))
 
     def encode(self, text: str) -> list[int]:
@@ -152,7 +157,7 @@ def bpe_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = SegmentTreeBpe(read_ranks(ranks_path), pattern)
+        bpe = per_worker(("bpe", ranks_path, pattern), lambda: SegmentTreeBpe(read_ranks(ranks_path), pattern))
         for batch in batches:
             all_ids, sizes, digests, decoded = [], [], [], []
             for text in batch.column(1).to_pylist():
