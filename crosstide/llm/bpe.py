@@ -50,6 +50,9 @@ class _Recent(dict):
 class SegmentTreeBpe:
     """Encoder and decoder for one vocabulary and split pattern.
 
+    What counts as a letter or digit is decided by the ``regex`` module's Unicode version; ids can
+    differ from another library's for characters that only one of the two versions assigns.
+
     A piece starts as single bytes. The tree's leaf ``i`` holds rank * size + i for the
     pair that starts at byte position ``i`` (no rank where the pair is no token), so its
     root is the leftmost pair of the lowest rank. A merge takes the root, joins the two
@@ -123,7 +126,12 @@ class SegmentTreeBpe:
         return self.encode_bytes(piece.encode())
 
     def _encode_chunk(self, chunk: str) -> tuple[str, list[int]]:
-        ids = list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(chunk))))
+        stem, stop = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
+        if stem.removeprefix(" ").isalpha() and (stem.isascii() or max(stem) < "\u0100"):  # a match of letters, one of the stop
+            matches = [stem, stop] if stop else [stem]
+        else:
+            matches = self.pattern.findall(chunk)
+        ids = list(chain.from_iterable(map(self.pieces.__getitem__, matches)))
         return " ".join(map(str, ids)), ids
 
     def encode_joined(self, text: str) -> tuple[str, list[int]]:
