@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,66 +21,72 @@ from crosstide.session import reliable_checkpoint
 LIMIT = 4096
 END_ID = 1
 #: Words a worker keeps the ids of at most.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that drops white space and never looks across it.
+    """Ids of whole texts from a lower-casing byte-level BPE that drops white space and never looks across it.
 
-    A text is cut at white space and each distinct chunk goes through the tokenizer once
-    for as long as it stays in the cache. Texts with control characters that only Python takes
-    for white space, or with the tokenizer's special strings, are encoded whole.
+    A text is cut at white space and each distinct chunk is encoded once for as long as it stays
+    in the cache. A plain word, of ASCII and Latin-1 letters with at most one stop or comma
+    after them, goes straight to the merges; any other chunk goes through the whole
+    tokenizer. Texts with control characters that only Python takes for white space, or
+    with the tokenizer's special strings, are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, np.bool_)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(128, 256) if chr(i).isalpha()}
+        self.stops = dict(zip(["", ".", ","], [b"", *self._whole([".", ","])]))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stems(self, stems: list[str]) -> None:
-        """Puts the ids of new stems into the cache. Plain words, each of which has one word end, share a call."""
-        plain = [s for s in stems if s.isalpha() and (s.isascii() or max(s) < "\u0100")]
-        for i in range(0, len(plain), 2_000):
-            words = plain[i : i + 2_000]
-            ids = self._whole([" ".join(words)])[0]
-            stops = (np.flatnonzero(self.ends_word[np.frombuffer(ids, "<u4")]) + 1) * 4
-            if len(stops) != len(words) or stops[-1] != len(ids):
-                raise ValueError("the tokenizer does not mark word ends")
-            start = 0
-            for word, stop in zip(words, stops.tolist()):
-                self.cache[word] = ids[start:stop]
-                start = stop
-        other = list(set(stems).difference(self.cache))
+    def _learn(self, words: set[str]) -> None:
+        """Puts the ids of new chunks into the cache."""
+        cache, other = self.cache, []
+        for word in words:
+            stem, stop = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+            if not stem.isalpha() or not (stem.isascii() or max(stem) < "\u0100"):
+                other.append(word)
+                continue
+            stem = stem.lower()
+            ids = cache.get(stem)
+            if ids is None:
+                tokens = self.model.tokenize(stem if stem.isascii() else stem.translate(self.letters))
+                ids = cache[stem] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            cache[word] = ids + self.stops[stop]
         for i in range(0, len(other), 2_000):
-            self.cache.update(zip(other[i : i + 2_000], self._whole(other[i : i + 2_000])))
+            cache.update(zip(other[i : i + 2_000], self._whole(other[i : i + 2_000])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") or "<|" in t for t in texts]
-        words = [[] if o else t.split() for t, o in zip(texts, odd)]
-        cache = self.cache
-        new = set(chain.from_iterable(words)).difference(cache)
-        if len(cache) + len(new) > CACHE:
-            cache = self.cache = {}
+        words = [[] if o else _lower(t).split() for t, o in zip(texts, odd)]
+        new = set(chain.from_iterable(words)).difference(self.cache)
+        if len(self.cache) + len(new) > CACHE:
+            self.cache = {}
             new = set(chain.from_iterable(words))
-        # the tokenizer lower-cases and ends a word at a stop or comma, so such forms share their stem's ids
-        forms = {}
-        for word in new:
-            stem = word.lower() if word.isascii() or max(word) < "\u0100" else word
-            forms[word] = (stem[:-1], stem[-1]) if stem[-1] in ".," and stem[:-1].isalpha() else (stem, "")
-        self._stems(list({x for pair in forms.values() for x in pair if x}.difference(cache)))
-        for word, (stem, stop) in forms.items():
-            cache[word] = cache[stem] + (cache[stop] if stop else b"")
-        return [self._whole([t])[0] if o else b"".join(map(cache.__getitem__, w)) for t, o, w in zip(texts, odd, words)]
+        self._learn(new)
+        ids_of = self.cache.__getitem__
+        return [self._whole([t])[0] if o else b"".join(map(ids_of, w)) for t, o, w in zip(texts, odd, words)]
+
+
+def _lower(text: str) -> str:
+    """Lower case where that maps each character to one, as the tokenizer does; other texts as they are."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 def reduce_dominated(counts: dict[int, int], limit: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
