@@ -1,4 +1,10 @@
-"""Secret scan: candidates by pattern, false positives removed by a random forest trained on labelled findings."""
+"""Secret scan: candidates by pattern, false positives removed by a random forest trained on labelled findings.
+
+Candidates are runs of key characters (CANDIDATE) and the values of names with a word from KEY_WORDS,
+of any length and characters (NAMED). Not found: a secret that no such name introduces and that is
+shorter than 12 characters, has no digit or is cut by punctuation; the second and later values of a list;
+and a value that follows its name without a sign or quote (``Bearer abc``), unless it is a run.
+"""
 
 from __future__ import annotations
 
@@ -13,15 +19,31 @@ from crosstide.session import reliable_checkpoint
 
 #: A run of 12 or more key characters, one of them a digit, that no key character precedes.
 CANDIDATE = r"(?<![\w+/\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
+#: Fixed value: words that name a credential beside it.
+KEY_WORDS = ["password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "access_key", "auth", "bearer", "credential"]
+_SHORT = ["key", "pwd", "auth"]
+_WORD = f"(?:(?i:{'|'.join(w for w in KEY_WORDS if w not in _SHORT)})|(?i:{'|'.join(_SHORT)})(?i:s)?(?![a-z]))"
+_SIGN, _SAYS = r"(?::=|=>|={1,3}|:)", r"(?:\s+(?:is|was))?\s+"
+#: What may end a sentence, list or call after a value that is not quoted.
+_CLOSING = r",;.)\]}>\"'`&"
+#: A name with a word from KEY_WORDS and what leads from it to its value: a sign, or nothing or "is" where the value is quoted.
+_NAME = rf"(?=[\w+/\-]++(?:[\"'`]?\s*[=:]|{_SAYS}[\"'`]\S))(?=[\w+/\-]*?{_WORD})[\w+/\-]++"
+_LEAD = rf"{_NAME}(?:[\"'`]?\s*{_SIGN}\s*(?:[\[({{]++\s*(?=[\"'`]))?+|{_SAYS}(?=[\"'`]\S))"
+_QUOTED = "|".join(rf"(?<={q})(?=[^{q}\n])[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+(?={q})" for q in "\"'`")
+_BARE = rf"(?:[^\s{_CLOSING}]++|(?![,;&)\]}}>]++[\"'`]|[,;&][\w\-]++[=:])[{_CLOSING}]++(?![\s{_CLOSING}]|\Z))++"
+#: Group 1 leads to a name's value: up to the closing quote, or up to white space less closing marks; not the name of a further value.
+NAMED = rf"(?<![\w+/\-])({_LEAD}(?![\s\[({{\"'`]*{_NAME}[\"'`]?\s*[=:][\s\"'`])[\"'`]?+)(?:{_QUOTED}|{_BARE})"
+FOUND = f"{NAMED}|{CANDIDATE}"
 #: Characters of context kept on each side.
 CONTEXT = 64
 #: Bounds of the dictionary and of the findings that a forest is fitted on.
 MAX_WORDS = 5_000
 MAX_FINDINGS = 50_000
 MASK = "<SECRET>"
-#: Words that name a credential beside it, and path parts of places where keys are made up.
-KEY_WORDS = ["password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "access_key", "auth", "bearer", "credential"]
+#: Path parts of places where keys are made up, and values that stand for another.
 MOCK_PATH = r"(?i)(^|[/._\-])(tests?|examples?|samples?|mocks?|fixtures?|docs?)([/._\-]|$)"
+NAME_BEFORE = rf"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:{'|'.join(KEY_WORDS)})s?(?![a-z])[\w+/\-]*(?:\s+(?:is|was))?\W*$"
+STAND_IN = r"(?i)^(?:none|null|nil|undefined|true|false|\*+|x{3,}|\.{3,}|<[^<>]*>|\$\w+|\$?\{+[^{}]*\}*|%\w*%|(?:os\.|process\.)?(?:env|getenv|environ)\b.*)$"
 FEATURES = [
     "length", "letter_digit", "case_change", "distinct_share", "coverage", "assigned", "quoted", "key_word", "before_known", "after_known",
     "before_bucket", "after_bucket", "mock_path", "path_depth", "path_bucket",
@@ -30,7 +52,9 @@ FEATURES = [
 
 def _parts(text: Column) -> tuple[Column, Column]:
     """Candidates of a text in order, and the stretches before, between and after them."""
-    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
+    found, leads = (F.regexp_extract_all(text, F.lit(FOUND), F.lit(group)) for group in (0, 1))
+    gaps = F.zip_with(F.split(text, FOUND, -1), leads, lambda g, x: F.concat(g, F.coalesce(x, F.lit(""))))
+    return F.zip_with(found, leads, lambda x, lead: F.substring(x, F.length(lead) + 1, F.length(x))), gaps
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -79,9 +103,9 @@ def with_features(findings: DataFrame, dictionary: list[str]) -> DataFrame:
             "case_change": share(F.regexp_count(c, F.lit("(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"))),
             "distinct_share": share(F.size(F.array_distinct(F.split(c, "")))),
             "coverage": share(covered),
-            "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$"),
+            "assigned": F.col("before").rlike(r"[=:]>?\s*[\[({]*\s*[\"'`]?$"),
             "quoted": F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]"),
-            "key_word": F.col("wb").isin(KEY_WORDS),
+            "key_word": F.col("before").rlike(NAME_BEFORE),
             "before_known": F.array_contains(known, F.col("wb")),
             "after_known": F.array_contains(known, F.col("wa")),
             "before_bucket": F.pmod(F.xxhash64("wb"), F.lit(16)),
@@ -97,13 +121,15 @@ def with_features(findings: DataFrame, dictionary: list[str]) -> DataFrame:
 def label_by_format() -> Column:
     """Labels for findings whose form settles them, null for all others.
 
-    1: a cloud access key id, or a value assigned to a name from KEY_WORDS; 0: digits only,
-    dates, and identifiers of the 8-4-4-4-12 form.
+    1: a cloud access key id, or a run of CANDIDATE assigned to a name with a word from KEY_WORDS;
+    0: digits only, dates, and identifiers of the 8-4-4-4-12 form without such a name, and values such
+    as ``None`` or ``${NAME}`` that stand for another. Other values of names are left to the forest.
     """
-    c, before = F.col("candidate"), F.lower(F.col("before"))
-    named = before.rlike(r"(?:" + "|".join(KEY_WORDS) + r")\s*[=:]\s*[\"']?$")
+    c = F.col("candidate")
+    named = F.col("before").rlike(rf"{_WORD}[\w+/\-]*[\"'`]?\s*{_SIGN}\s*[\"'`]?$")
     plain = c.rlike(r"^[0-9\-+/]+$") | c.rlike(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
-    return F.when(plain, 0).when(c.rlike("^AKIA[0-9A-Z]{16}$") | named, 1)
+    secret = c.rlike("^AKIA[0-9A-Z]{16}$") | (named & ~plain & c.rlike(f"^(?:{CANDIDATE})$"))
+    return F.when((plain & ~named) | c.rlike(STAND_IN), 0).when(secret, 1)
 
 
 def fit_forest(labelled: DataFrame, trees: int = 20, depth: int = 5, seed: int = 7, max_findings: int = MAX_FINDINGS) -> RandomForestClassificationModel | None:

@@ -160,3 +160,41 @@ def test_secret_scan(docs_of):
     assert by_id[4] == f"river stone\n{s.MASK} over the light and {4000000000000004} harbour"
     assert by_id[101].startswith(f"password={s.MASK} token = \"{s.MASK}\"")
     assert s.scan(docs_of([])).collect() == []
+
+
+def test_secrets_of_any_form_after_a_key_name(docs_of):
+    from crosstide.llm import secret_scan as s
+
+    cases = [
+        ('password = "hunter2" x', ["hunter2"]),
+        ("password: P@ssw0rd!2024, and", ["P@ssw0rd!2024"]),
+        ("the secret is 'Tr0ub4dor&3xyz!Q'.", ["Tr0ub4dor&3xyz!Q"]),
+        ("pwd: Tr0ub4dor&3xyz!Q.", ["Tr0ub4dor&3xyz!Q"]),
+        ('token="abcdefghijklmnopqrstuvwxyzABCD"', ["abcdefghijklmnopqrstuvwxyzABCD"]),
+        ('über secret = "correct-horse-battery"', ["correct-horse-battery"]),
+        ('{"password":"a b","key":5,"x":"y"}', ["a b", "5"]),
+        ("secrets:\n  dbPassword: x7\n  key_file: y\n", ["x7", "y"]),
+        ('{"secrets": {"password":"x"}} secret = "" password: )) ["key", "b"]', ["x"]),
+        (r"pwd 'it\'s me' https://a.b/?token=abc&user=3", [r"it\'s me", "abc"]),
+        ('key = "unclosed x\nauthor: Bob, the key to it', ["unclosed"]),
+        ("password=" + "é)" * 20_000 + " " + "key" * 20_000, ["é)" * 19_999 + "é"]),
+        ('password="' + "\\\\a" * 20_000 + '"', ["\\\\a" * 20_000]),
+    ]
+    docs = docs_of([(i, t, None, None) for i, (t, _) in enumerate(cases)])
+    got = defaultdict(list)
+    for r in sorted(s.find_candidates(docs).collect(), key=lambda r: (r["id"], r["ordinal"])):
+        got[r["id"]].append(r["candidate"])
+        assert cases[r["id"]][0].startswith(r["candidate"], r["start"])
+    for i, (text, want) in enumerate(cases):
+        assert got[i] == want, text[:99]
+    found = s.find_candidates(docs)
+    clean = s.redact(docs, found.withColumn("is_secret", F.lit(True))).select("row.doc_id", "clean_text").collect()
+    assert {r["doc_id"]: r["clean_text"] for r in clean}[0] == f'password = "{s.MASK}" x'
+
+
+def test_values_of_key_names_that_settle_nothing_have_no_label(docs_of):
+    from crosstide.llm import secret_scan as s
+
+    texts = ["password = 123456", "token: ${TOKEN}", "key = None", "Key: remember", "api_token_v2 = 9c0b11223344ff", "no 123456789012"]
+    found = s.find_candidates(docs_of([(i, t, None, None) for i, t in enumerate(texts)])).withColumn("label", s.label_by_format())
+    assert {r["id"]: r["label"] for r in found.collect()} == {0: None, 1: 0, 2: 0, 3: None, 4: 1, 5: 0}
