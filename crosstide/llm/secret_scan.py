@@ -145,10 +145,24 @@ def fit_forest(labelled: DataFrame, trees: int = 20, depth: int = 5, seed: int =
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
 
 
+def by_rule() -> Column:
+    """Whether a finding is a secret where no forest could be fitted.
+
+    A label decides. Without one, a value beside a key name is a secret if it is assigned or quoted
+    and does not consist of dictionary words, and any other candidate if it has 20 characters or
+    more, half of them or ten distinct, and letters and digits change at least once in ten.
+    """
+    named = (F.col("key_word") > 0) & (F.col("assigned") + F.col("quoted") > 0) & (F.col("coverage") < 1)
+    distinct = (F.col("distinct_share") >= 0.5) | (F.col("distinct_share") * F.col("length") >= 10)
+    mixed = (F.col("length") >= 20) & distinct & (F.col("letter_digit") >= 0.1)
+    return F.coalesce(F.col("label") == 1, named | mixed)
+
+
 def judge(findings: DataFrame, forest: RandomForestClassificationModel | None, threshold: float = 0.5) -> DataFrame:
-    """Adds score (the forest's share for a secret) and is_secret; without a forest every candidate counts as one."""
+    """Adds score (the forest's share for a secret) and is_secret; without a forest :func:`by_rule` gives a score of 1 or 0."""
     if forest is None:
-        return findings.withColumns({"score": F.lit(1.0), "is_secret": F.lit(True)})
+        out = findings.withColumn("score", by_rule().cast("double"))
+        return out.withColumn("is_secret", F.col("score") >= threshold)
     out = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(findings))
     out = out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
     return out.withColumn("is_secret", F.col("score") >= threshold)

@@ -198,3 +198,18 @@ def test_values_of_key_names_that_settle_nothing_have_no_label(docs_of):
     texts = ["password = 123456", "token: ${TOKEN}", "key = None", "Key: remember", "api_token_v2 = 9c0b11223344ff", "no 123456789012"]
     found = s.find_candidates(docs_of([(i, t, None, None) for i, t in enumerate(texts)])).withColumn("label", s.label_by_format())
     assert {r["id"]: r["label"] for r in found.collect()} == {0: None, 1: 0, 2: 0, 3: None, 4: 1, 5: 0}
+
+
+def test_without_both_labels_a_rule_decides(docs_of):
+    from crosstide.llm import secret_scan as s
+
+    clean = [f"stone {4000000000000000 + i} and 2024-01-02/2024-02-03 or 123e4567-e89b-12d3-a456-4266141740{i:02d}" for i in range(10)]
+    clean += ["see /srv/harbour/winter/copper2/light for it", "token: ${TOKEN}"]
+    secret = ['password = "hunter2"', "pass 3fdf5a35c7b8d733c0b5c7d364eda8ac88d929d1 on"]
+    docs = docs_of([(i, t, None, None) for i, t in enumerate(clean + secret)])
+    judged = s.scan(docs).collect()
+    assert {r["label"] for r in judged} == {0, None}
+    assert all(not r["is_secret"] and r["score"] == 0 for r in judged if r["label"] == 0)
+    texts = {r["row"]["doc_id"]: r["clean_text"] for r in s.redact(docs, s.scan(docs)).collect()}
+    assert [texts[i] for i in range(len(clean))] == clean
+    assert [texts[len(clean) + i] for i in range(2)] == [f'password = "{s.MASK}"', f"pass {s.MASK} on"]
