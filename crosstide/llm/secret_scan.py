@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 from crosstide.llm.common import documents, is_held_out, sha256
 from crosstide.session import reliable_checkpoint
 
-#: A run of 12 or more key characters, one of them a digit, that no key character precedes.
-CANDIDATE = r"(?<![\w+/\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
+#: What may end a sentence, list or call after a value that is not quoted.
+_CLOSING = r",;.)\]}>\"'`&"
+#: A run of 12 or more key characters, one of them a digit, that no key character precedes; with its padding, not with a sign that a value follows.
+CANDIDATE = rf"(?<![\w+/\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{12,}}(?:={{1,2}}+(?![\"'`]?[^\s{_CLOSING}]))?"
 #: Fixed value: words that name a credential beside it.
 KEY_WORDS = ["password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "access_key", "auth", "bearer", "credential"]
 _SHORT = ["key", "pwd", "auth"]
 _WORD = f"(?:(?i:{'|'.join(w for w in KEY_WORDS if w not in _SHORT)})|(?i:{'|'.join(_SHORT)})(?i:s)?(?![a-z]))"
 _SIGN, _SAYS = r"(?::=|=>|={1,3}|:)", r"(?:\s+(?:is|was))?\s+"
-#: What may end a sentence, list or call after a value that is not quoted.
-_CLOSING = r",;.)\]}>\"'`&"
 #: A name with a word from KEY_WORDS and what leads from it to its value: a sign, or nothing or "is" where the value is quoted.
 _NAME = rf"(?=[\w+/\-]++(?:[\"'`]?\s*[=:]|{_SAYS}[\"'`]\S))(?=[\w+/\-]*?{_WORD})[\w+/\-]++"
 _LEAD = rf"{_NAME}(?:[\"'`]?\s*{_SIGN}\s*(?:[\[({{]++\s*(?=[\"'`]))?+|{_SAYS}(?=[\"'`]\S))"
@@ -60,17 +60,28 @@ def _parts(text: Column) -> tuple[Column, Column]:
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """One row per candidate of a whole text: id, th (text hash), ordinal, start, candidate, before, after, path.
 
+    ``before`` and ``after`` are the CONTEXT characters of text on each side, other candidates among them.
     ``start`` counts code points from 0. A null or empty text has none. Rows that repeat an id
     and a text are reported once.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     found, gaps = _parts(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), path.alias("path"), found.alias("found"), gaps.alias("gaps"))
-    rows = rows.filter(F.size("found") > 0).select("id", "th", "path", "gaps", F.posexplode("found").alias("ordinal", "candidate"))
-    gap, after = F.get("gaps", F.col("ordinal")), F.get("gaps", F.col("ordinal") + 1)
-    rows = rows.select(
-        "id", "th", "ordinal", "candidate", "path", F.length(gap).alias("gap"), F.right(gap, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after")
-    ).dropDuplicates(["id", "th", "ordinal"])
+    # No piece is empty but the last, so CONTEXT pieces on a side hold CONTEXT characters.
+    piece = lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))
+    ends = lambda p: F.struct(F.left(p, F.lit(CONTEXT)).alias("head"), F.right(p, F.lit(CONTEXT)).alias("tail"))
+    rows = rows.filter(F.size("found") > 0).withColumn("ends", F.zip_with("gaps", "found", lambda g, x: ends(piece(g, x))))
+
+    def around(x: Column, i: Column) -> Column:
+        gap = F.get("gaps", i)
+        earlier = F.slice("ends", F.greatest(i - CONTEXT, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT))).getField("tail")
+        later = F.slice("ends", i + 2, CONTEXT).getField("head")
+        before = F.right(F.concat(F.array_join(earlier, ""), F.right(gap, F.lit(CONTEXT))), F.lit(CONTEXT))
+        after = F.left(F.array_join(later, ""), F.lit(CONTEXT))
+        return F.struct(x.alias("candidate"), F.length(gap).alias("gap"), before.alias("before"), after.alias("after"))
+
+    rows = rows.select("id", "th", "path", F.posexplode(F.transform("found", around)).alias("ordinal", "c"))
+    rows = rows.select("id", "th", "ordinal", "path", "c.*").dropDuplicates(["id", "th", "ordinal"])
     upto = Window.partitionBy("id", "th").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = F.sum(F.col("gap") + F.length("candidate")).over(upto) - F.length("candidate")
     return rows.withColumn("start", taken.cast("long")).drop("gap")

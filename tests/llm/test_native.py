@@ -213,3 +213,21 @@ def test_without_both_labels_a_rule_decides(docs_of):
     texts = {r["row"]["doc_id"]: r["clean_text"] for r in s.redact(docs, s.scan(docs)).collect()}
     assert [texts[i] for i in range(len(clean))] == clean
     assert [texts[len(clean) + i] for i in range(2)] == [f'password = "{s.MASK}"', f"pass {s.MASK} on"]
+
+
+def test_context_is_the_text_around_a_candidate(docs_of):
+    from crosstide.llm import secret_scan as s
+
+    name, value = "setting_number_12", "wJalrXUtnFEMI7MDENGbPx"
+    texts = [f"AWS_SECRET_KEY2={value} end", 'api_token_v2 = "9c0b11223344ffee"', f"{name}={value}", f'{name}="{value}"', 'QUJDREVGR0hJSg== "QUJDREVGR0hJSw=="', "é " + " ".join(f"key={i}" for i in range(300)) + f" {'12345678901234567 ' * 9}"]
+    found = s.find_candidates(docs_of([(i, t, None, None) for i, t in enumerate(texts)]))
+    got = defaultdict(list)
+    for r in sorted(s.with_features(found, []).withColumn("label", s.label_by_format()).collect(), key=lambda r: (r["id"], r["ordinal"])):
+        text, end = texts[r["id"]], r["start"] + len(r["candidate"])
+        assert r["candidate"] == text[r["start"] : end]
+        assert (r["before"], r["after"]) == (text[max(0, r["start"] - 64) : r["start"]], text[end : end + 64])
+        got[r["id"]].append(r)
+    for i in (0, 1):
+        assert [(r["label"], r["key_word"], r["assigned"]) for r in got[i]] == [(1, 1.0, 1.0)]
+    assert [[r["candidate"] for r in got[i]] for i in (2, 3, 4)] == [[name, value]] * 2 + [["QUJDREVGR0hJSg==", "QUJDREVGR0hJSw=="]]
+    assert [r["assigned"] for r in got[2] + got[3]] == [0.0, 1.0] * 2 and len(got[5]) == 309
