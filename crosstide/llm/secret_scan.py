@@ -195,15 +195,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 def redact(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input columns as struct ``row`` and clean_text, in which each secret of ``judged`` is MASK.
 
-    Texts without a secret stay as they are, null included.
+    Texts without a secret stay as they are, null included; rows without an id are masked like all others.
     """
-    hits = judged.filter("is_secret").groupBy("id", "th").agg(F.collect_set("ordinal").alias("hits"))
+    hits = judged.filter("is_secret").groupBy(F.col("id").alias("hit_id"), F.col("th").alias("hit_th")).agg(F.collect_set("ordinal").alias("hits"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"))
     text = F.col("row").getField(text_col)
     found, gaps = _parts(text)
     said = F.transform(found, lambda x, i: F.when(F.array_contains("hits", i), F.lit(MASK)).otherwise(x))
     clean = F.array_join(F.zip_with(gaps, said, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
-    return rows.join(hits, ["id", "th"], "left").select("row", F.when(F.col("hits").isNull(), text).otherwise(clean).alias("clean_text"))
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th"))
+    return rows.join(hits, same, "left").select("row", F.when(F.col("hits").isNull(), text).otherwise(clean).alias("clean_text"))
 
 
 def op5_secret_scan(spark, sf_dir) -> DataFrame:
