@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from crosstide.llm import bpe, chat, exact, fingerprint, langid, lines, minhash, packing, secret_scan, spelling, toxicity
+from crosstide.llm import bpe, chat, exact, fingerprint, langid, lines, minhash, packing, secret_scan, spelling, toxicity, trie
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
