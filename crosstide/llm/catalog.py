@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from crosstide.llm import bpe, chat, exact, fingerprint, langid, lines, minhash, packing, secret_scan, spelling, toxicity, trie
+from crosstide.llm import bpe, chat, exact, fingerprint, langid, lines, minhash, ordered_packing, packing, secret_scan, spelling, toxicity, trie
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_chat_format": chat.op10_chat_format,
     "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_ordered_packing": ordered_packing.op13_ordered_packing,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
