@@ -17,7 +17,7 @@ from crosstide.llm.packing import END_ID, WordTokenizer
 
 LIMIT = 2048
 #: What a cut costs, in tokens of padding: between sentences, and inside one. Between documents it is free.
-SENTENCE_CUT, INNER_CUT = 8, 48
+SENTENCE_CUT, INNER_CUT = 16, 96
 #: What a sequence costs besides its padding, so that short ones of a length that needs none don't abound.
 PER_SEQUENCE = 2
 #: Tokens between the places inside a sentence where a cut is considered.

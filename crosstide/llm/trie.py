@@ -138,72 +138,78 @@ def id_list_hashes(ends: DataFrame, keys: Sequence[str], id_col: str) -> DataFra
     return single.unionByName(ordered.mapInArrow(digest, schema))
 
 
-def _splits(depth: Column, above: Column) -> Column:
-    """Whether a node has the one-bit where its depth first differs from its parent's: every other node of a chain."""
-    differ = depth.bitwiseXOR(above)
-    return depth.bitwiseAND(differ.bitwiseAND(-differ)) != 0
+def _compress(active: DataFrame, values: Sequence[str], width: int) -> DataFrame:
+    """Takes the nodes with one child out of each stretch of ``width`` depths of a line, if that child lies in it, too.
 
+    What stays at the end of such a run hangs on the node above it and carries what lay between. Rows
+    taken out name it as ``heir`` and hold in ``more_<value>`` what they have besides its total.
+    """
+    stretch = ["line", F.floor(F.col("depth") / width)]
+    along = Window.partitionBy(*stretch).orderBy("depth")
+    active = active.withColumn("stretch", stretch[1])
+    single = (F.col("kids") == 1) & F.col("parent").isNotNull()
+    active = active.withColumn("out", F.coalesce(single & (F.lead("parent").over(along) == F.col("id")), F.lit(False)))
+    stayed = F.count_if(~F.col("out")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    run = Window.partitionBy("line", "stretch", "run").orderBy("depth")
+    whole, upto = (run.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, Window.currentRow))
+    active = active.withColumn("run", stayed)
+    columns = {"heir": F.when(F.col("out"), F.last("id").over(whole)), "top": F.first("parent").over(whole)}
+    for v in values:
+        own, carry = F.when(F.col("out"), F.col(v)).otherwise(0), F.col(f"carry_{v}")
+        between = F.sum(own + carry).over(whole)
+        columns[f"sum_{v}"] = between
+        columns[f"more_{v}"] = between - F.sum(own + carry).over(upto) + own
+    done = active.withColumns(columns)
+    return done.select(
+        "id", F.when(F.col("out"), F.col("parent")).otherwise(F.col("top")).alias("parent"), "line", "depth", "kids", "out", "heir", *values,
+        *[F.when(F.col("out"), F.col(f"carry_{v}")).otherwise(F.col(f"sum_{v}")).alias(f"carry_{v}") for v in values], *[f"more_{v}" for v in values],
+    )
 
-def subtree_totals(tree: DataFrame, values: Sequence[str]) -> DataFrame:
+
+def subtree_totals(tree: DataFrame, values: Sequence[str], width: int = BLOCK) -> DataFrame:
     """Sum of each of ``values`` over the subtree of every node: id, then the totals under the names of the values.
 
-    ``tree`` has id, parent (null at a root), depth (one more than the parent's) and the values. Rounds of parallel
-    tree contraction: rake adds the totals of all leaves to their parents and takes the leaves
-    away; compress takes every other node out of the chains of nodes with one child, whose
-    child then hangs on the node above and carries what lay between. A round halves chains
-    and takes the outermost level off everything else, so rounds grow as the logarithm of
-    the nodes, whatever the depth. Then the nodes taken out come back, the last ones first: each
-    has the total of the child it had plus what lay between. Leaves are summed before the shuffle and
-    rounds work on numbers only, each written to the checkpoint folder, with half the tasks of the round before.
+    ``tree`` has id, parent (null at a root), line, depth and whole numbers as values. A line is any set of
+    nodes of different depths that a chain of only children follows as a rule, such as those of one
+    smallest member. Rounds of parallel tree contraction: compress replaces chains of nodes
+    with one child by their last node, which carries what lay between; rake adds the totals of all
+    leaves to their parents and takes the leaves away. Compress works on stretches of ``width`` depths, and on
+    ``width`` times longer ones in each further round, so a long chain is cut down in parallel and a
+    round takes the outermost branches off everything else: few rounds, whatever the depth. Then the nodes
+    taken out come back, the last ones first, from the total of the node that took their place. Leaves are summed before
+    the shuffle; rounds move numbers only, and each is written to the checkpoint folder.
 
     Values must not be null. A parent that is not in the table makes a root; a circle is an error. An empty table
     returns no rows.
     """
     values = list(values)
-    spark = tree.sparkSession
-    children = tree.filter("parent is not null").groupBy(F.col("parent").alias("of")).agg(F.count(F.lit(1)).alias("kids"))
-    active = tree.select("id", "parent", F.col("depth").cast("long").alias("depth"), (F.col("depth") - 1).cast("long").alias("above"), *values)
-    active = active.join(children, F.col("id") == F.col("of"), "left").drop("of").withColumn("kids", F.coalesce("kids", F.lit(0)))
     zero = F.lit(0).cast("long")
-    nothing = {"via": F.lit(None).cast(tree.schema["id"].dataType), **{f"carry_{v}": zero for v in values}, **{f"via_{v}": zero for v in values}}
-    active = reliable_checkpoint(active.withColumns(nothing))
-    tasks = max(active.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rounds = [active]
-    while True:
-        leaves = active.filter("kids = 0 and parent is not null").groupBy(F.col("parent").alias("of"))
-        raked = leaves.agg(F.count(F.lit(1)).alias("gone"), *[F.sum(F.col(v) + F.col(f"carry_{v}")).alias(f"add_{v}") for v in values])
-        inner = active.filter("kids > 0").join(raked, F.col("id") == F.col("of"), "left")
-        if inner.isEmpty():
-            break
-        tasks = max(1, tasks // 2)
-        inner = inner.select(
-            "id", "parent", "depth", "above", (F.col("kids") - F.coalesce("gone", zero)).alias("kids"),
-            *[(F.col(v) + F.coalesce(f"add_{v}", zero)).alias(v) for v in values], *[f"carry_{v}" for v in values],
-        )
-        inner = inner.withColumn("marked", (F.col("kids") == 1) & F.col("parent").isNotNull() & _splits(F.col("depth"), F.col("above")))
-        inner = reliable_checkpoint(inner.coalesce(tasks))
-        under = inner.filter("marked").select(F.col("id").alias("mark"))
-        inner = inner.join(under, F.col("parent") == F.col("mark"), "left").withColumn("out", F.col("marked") & F.col("mark").isNull()).drop("mark", "marked")
-        out = inner.filter("out").select(
-            F.col("id").alias("via"), F.col("parent").alias("to"), F.col("above").alias("to_depth"), *[F.col(v).alias(f"own_{v}") for v in values], *[F.col(f"carry_{v}").alias(f"more_{v}") for v in values]
-        )
-        active = inner.filter("not out").join(out, F.col("parent") == F.col("via"), "left").select(
-            "id", F.coalesce("to", "parent").alias("parent"), "depth", F.coalesce("to_depth", "above").alias("above"), "kids", *values, "via",
-            *[(F.col(f"carry_{v}") + F.coalesce(F.col(f"own_{v}") + F.col(f"more_{v}"), zero)).alias(f"carry_{v}") for v in values],
-            *[(F.col(f"carry_{v}") + F.coalesce(f"own_{v}", zero)).alias(f"via_{v}") for v in values],
-        )
-        active = reliable_checkpoint(active.coalesce(tasks))
-        if active.filter("kids = 0 or via is not null").isEmpty():
+    children = tree.filter("parent is not null").groupBy(F.col("parent").alias("of")).agg(F.count(F.lit(1)).alias("kids"))
+    active = tree.select("id", "parent", "line", F.col("depth").cast("long").alias("depth"), *[F.col(v).cast("long").alias(v) for v in values])
+    active = active.join(children, F.col("id") == F.col("of"), "left").drop("of").withColumn("kids", F.coalesce("kids", zero))
+    active = active.withColumns({f"carry_{v}": zero for v in values})
+    rounds: list[DataFrame] = []
+    left, reach = True, width
+    while left:
+        packed = reliable_checkpoint(_compress(active, values, reach))
+        rounds.append(packed)
+        gone, left = packed.agg(F.count_if(F.expr("out or kids = 0")), F.count_if(F.expr("not out and kids > 0"))).first()
+        if left and not gone:
             raise ValueError("the parents form a circle")
-        rounds.append(active)
+        reach = min(reach * width, 1 << 60)
+        stay = packed.filter("not out")
+        raked = stay.filter("kids = 0 and parent is not null").groupBy(F.col("parent").alias("of"))
+        raked = raked.agg(F.count(F.lit(1)).alias("gone"), *[F.sum(F.col(v) + F.col(f"carry_{v}")).alias(f"add_{v}") for v in values])
+        active = stay.filter("kids > 0").join(raked, F.col("id") == F.col("of"), "left").select(
+            "id", "parent", "line", "depth", *[(F.col(v) + F.coalesce(f"add_{v}", zero)).alias(v) for v in values],
+            (F.col("kids") - F.coalesce("gone", zero)).alias("kids"), *[f"carry_{v}" for v in values],
+        )
     known: list[DataFrame] = []
-    for done in reversed(rounds):
-        known.append(done.filter("kids = 0").select("id", *values))
-        totals = reduce(DataFrame.unionByName, known).select(F.col("id").alias("child"), *[F.col(v).alias(f"of_{v}") for v in values])
-        back = done.filter("via is not null").join(totals, F.col("id") == F.col("child"))
-        back = back.select(F.col("via").alias("id"), *[(F.col(f"via_{v}") + F.col(f"of_{v}")).alias(v) for v in values])
-        if done is not rounds[0]:
-            known.append(reliable_checkpoint(back.coalesce(max(1, done.rdd.getNumPartitions()))))
+    for packed in reversed(rounds):
+        known.append(packed.filter("not out and kids = 0").select("id", *values))
+        totals = reduce(DataFrame.unionByName, known).select(F.col("id").alias("last"), *[F.col(v).alias(f"of_{v}") for v in values])
+        back = packed.filter("out").join(totals, F.col("heir") == F.col("last"))
+        known.append(reliable_checkpoint(back.select("id", *[(F.col(f"more_{v}") + F.col(f"of_{v}")).alias(v) for v in values])))
     return reduce(DataFrame.unionByName, known)
 
 
@@ -223,7 +229,7 @@ def prefix_trie(rows: DataFrame, convs: DataFrame) -> DataFrame:
     nodes = nodes.join(children, F.col("id") == F.col("of"), "left").drop("of").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     nodes = reliable_checkpoint(nodes)
     leaf = (F.col("n_children") == 0).cast("long")
-    tree = nodes.select("id", F.col("up").alias("parent"), F.col("d").alias("depth"), leaf.alias("n_leaves"), ((F.col("n") - 1) * F.col("n_bytes")).alias("saved_tokens"))
+    tree = nodes.select("id", F.col("up").alias("parent"), F.col("conv").alias("line"), F.col("d").alias("depth"), leaf.alias("n_leaves"), ((F.col("n") - 1) * F.col("n_bytes")).alias("saved_tokens"))
     totals = subtree_totals(tree, ["n_leaves", "saved_tokens"]).withColumnRenamed("id", "of")
     hashes = id_list_hashes(ends, ["d", "p1", "p2"], "conv")
     out = nodes.join(totals, F.col("id") == F.col("of")).join(hashes, ["d", "p1", "p2"], "left")

@@ -88,22 +88,23 @@ def test_contraction_of_any_tree(spark, shape):
     n = 300
     up = {"chain": lambda i: i - 1, "star": lambda i: 0, "random": lambda i: rnd.randrange(i), "caterpillar": lambda i: i - 1 if i % 2 else max(0, i - 2)}[shape]
     parent = {0: None, **{i: up(i) for i in range(1, n)}, n: None, n + 1: n}
-    depth, total = {}, defaultdict(int)
+    depth, line, total = {}, {}, defaultdict(int)
     for i, p in parent.items():
         depth[i] = 0 if p is None else depth[p] + 1
+        line[i] = i if p is None or p in line.values() and rnd.random() < 0.3 or any(line[j] == line[p] and depth[j] == depth[i] for j in line) else line[p]
         at = i
         while at is not None:
             total[at] += i * i + 1
             at = parent[at]
-    tree = spark.createDataFrame([(i, p, depth[i], i * i + 1) for i, p in parent.items()], "id long, parent long, depth int, v long")
-    assert dict(map(tuple, trie.subtree_totals(tree, ["v"]).collect())) == dict(total)
+    tree = spark.createDataFrame([(i, p, line[i], depth[i], i * i + 1) for i, p in parent.items()], "id long, parent long, line long, depth int, v long")
+    assert dict(map(tuple, trie.subtree_totals(tree, ["v"], 8).collect())) == dict(total)
 
 
 def test_a_circle_is_an_error(spark):
     from crosstide.llm import trie
 
     with pytest.raises(ValueError):
-        trie.subtree_totals(spark.createDataFrame([(1, 2, 1, 1), (2, 3, 1, 1), (3, 1, 1, 1), (3, 1, 1, 1)], "id long, parent long, depth int, v long"), ["v"])
+        trie.subtree_totals(spark.createDataFrame([(1, 2, 1, 1, 1), (2, 3, 2, 1, 1), (3, 1, 3, 1, 1), (4, 3, 4, 1, 1)], "id long, parent long, line long, depth int, v long"), ["v"])
 
 
 def test_query_on_a_table(spark):
