@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -166,18 +165,42 @@ def _compress(active: DataFrame, values: Sequence[str], width: int) -> DataFrame
     )
 
 
+def _splice(active: DataFrame, values: Sequence[str], salt: int) -> DataFrame:
+    """Takes nodes out of chains of nodes with one child, wherever they lie: one in three, those that a hash with
+    ``salt`` puts above their parent whose own parent it does not put below.
+
+    The child hangs on the node above and carries what lay between. Its row names the node taken out as
+    ``via`` and holds in ``via_<value>`` what that node has besides the child's total.
+    """
+    zero = F.lit(0).cast("long")
+    marked = (F.col("kids") == 1) & F.col("parent").isNotNull() & (F.xxhash64(F.lit(salt), "id") > F.xxhash64(F.lit(salt), "parent"))
+    active = reliable_checkpoint(active.withColumn("marked", F.coalesce(marked, F.lit(False))))
+    under = active.filter("marked").select(F.col("id").alias("mark"))
+    active = active.join(under, F.col("parent") == F.col("mark"), "left").withColumn("out", F.col("marked") & F.col("mark").isNull()).drop("mark", "marked")
+    out = active.filter("out").select(
+        F.col("id").alias("via"), F.col("parent").alias("to"), *[F.col(v).alias(f"own_{v}") for v in values], *[F.col(f"carry_{v}").alias(f"more_{v}") for v in values]
+    )
+    done = active.filter("not out").join(out, F.col("parent") == F.col("via"), "left").select(
+        "id", F.coalesce("to", "parent").alias("parent"), "line", "depth", "kids", *values, "via",
+        *[(F.col(f"carry_{v}") + F.coalesce(F.col(f"own_{v}") + F.col(f"more_{v}"), zero)).alias(f"carry_{v}") for v in values],
+        *[(F.col(f"carry_{v}") + F.coalesce(f"own_{v}", zero)).alias(f"via_{v}") for v in values],
+    )
+    return reliable_checkpoint(done)
+
+
 def subtree_totals(tree: DataFrame, values: Sequence[str], width: int = BLOCK) -> DataFrame:
     """Sum of each of ``values`` over the subtree of every node: id, then the totals under the names of the values.
 
-    ``tree`` has id, parent (null at a root), line, depth and whole numbers as values. A line is any set of
-    nodes of different depths that a chain of only children follows as a rule, such as those of one
-    smallest member. Rounds of parallel tree contraction: compress replaces chains of nodes
+    ``tree`` has id, parent (null at a root), line, depth (a parent's is less) and whole numbers as values. A
+    line is any set of nodes of different depths that chains of only children follow as a rule, such as those of
+    one smallest member. Rounds of parallel tree contraction: compress replaces chains of nodes
     with one child by their last node, which carries what lay between; rake adds the totals of all
-    leaves to their parents and takes the leaves away. Compress works on stretches of ``width`` depths, and on
-    ``width`` times longer ones in each further round, so a long chain is cut down in parallel and a
-    round takes the outermost branches off everything else: few rounds, whatever the depth. Then the nodes
-    taken out come back, the last ones first, from the total of the node that took their place. Leaves are summed before
-    the shuffle; rounds move numbers only, and each is written to the checkpoint folder.
+    leaves to their parents and takes the leaves away. Compress first works on stretches of ``width`` depths of a
+    line, ``width`` times longer in each further round, by a window; of chains that cross lines it then takes one
+    node in three, by joins. So a round takes the outermost branches off the tree and shortens what chains are left by
+    a share: rounds grow as the logarithm of the nodes, whatever the depth. Then the nodes taken out come back, the last
+    ones first, from the total of the node that took their place. Leaves are summed before the shuffle; rounds move
+    numbers only, and each is written to the checkpoint folder.
 
     Values must not be null. A parent that is not in the table makes a root; a circle is an error. An empty table
     returns no rows.
@@ -185,15 +208,18 @@ def subtree_totals(tree: DataFrame, values: Sequence[str], width: int = BLOCK) -
     values = list(values)
     zero = F.lit(0).cast("long")
     children = tree.filter("parent is not null").groupBy(F.col("parent").alias("of")).agg(F.count(F.lit(1)).alias("kids"))
-    active = tree.select("id", "parent", "line", F.col("depth").cast("long").alias("depth"), *[F.col(v).cast("long").alias(v) for v in values])
+    depth = F.col("depth").cast("long")
+    active = tree.select("id", "parent", "line", depth.alias("depth"), *[F.col(v).cast("long").alias(v) for v in values])
     active = active.join(children, F.col("id") == F.col("of"), "left").drop("of").withColumn("kids", F.coalesce("kids", zero))
     active = active.withColumns({f"carry_{v}": zero for v in values})
     rounds: list[DataFrame] = []
     left, reach = True, width
     while left:
         packed = reliable_checkpoint(_compress(active, values, reach))
-        rounds.append(packed)
-        gone, left = packed.agg(F.count_if(F.expr("out or kids = 0")), F.count_if(F.expr("not out and kids > 0"))).first()
+        rounds.append(packed.filter("out").select("id", "heir", *[f"more_{v}" for v in values]))
+        rounds.append(packed.filter("not out and kids = 0").select("id", *values))
+        chained = "not out and kids = 1 and parent is not null"
+        gone, left, chained = packed.agg(*[F.count_if(F.expr(x)) for x in ("out or kids = 0", "not out and kids > 0", chained)]).first()
         if left and not gone:
             raise ValueError("the parents form a circle")
         reach = min(reach * width, 1 << 60)
@@ -204,13 +230,20 @@ def subtree_totals(tree: DataFrame, values: Sequence[str], width: int = BLOCK) -
             "id", "parent", "line", "depth", *[(F.col(v) + F.coalesce(f"add_{v}", zero)).alias(v) for v in values],
             (F.col("kids") - F.coalesce("gone", zero)).alias("kids"), *[f"carry_{v}" for v in values],
         )
-    known: list[DataFrame] = []
-    for packed in reversed(rounds):
-        known.append(packed.filter("not out and kids = 0").select("id", *values))
-        totals = reduce(DataFrame.unionByName, known).select(F.col("id").alias("last"), *[F.col(v).alias(f"of_{v}") for v in values])
-        back = packed.filter("out").join(totals, F.col("heir") == F.col("last"))
-        known.append(reliable_checkpoint(back.select("id", *[(F.col(f"more_{v}") + F.col(f"of_{v}")).alias(v) for v in values])))
-    return reduce(DataFrame.unionByName, known)
+        if chained:
+            active = _splice(active, values, len(rounds))
+            rounds.append(active.filter("via is not null").select(F.col("via").alias("id"), F.col("id").alias("heir"), *[F.col(f"via_{v}").alias(f"more_{v}") for v in values]))
+    # in each round the leaves' totals are known before the nodes that compress took out ask for them
+    tasks = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = tree.select("id", *values).limit(0)
+    for k in reversed(range(len(rounds))):
+        if "heir" not in rounds[k].columns:
+            known = known.unionByName(rounds[k])
+            continue
+        totals = known.select(F.col("id").alias("last"), *[F.col(v).alias(f"of_{v}") for v in values])
+        back = rounds[k].join(totals, F.col("heir") == F.col("last")).select("id", *[(F.col(f"more_{v}") + F.col(f"of_{v}")).alias(v) for v in values])
+        known = reliable_checkpoint(known.unionByName(back).coalesce(tasks))
+    return known
 
 
 def prefix_trie(rows: DataFrame, convs: DataFrame) -> DataFrame:

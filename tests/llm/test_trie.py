@@ -85,7 +85,7 @@ def test_contraction_of_any_tree(spark, shape):
     from crosstide.llm import trie
 
     rnd = random.Random(9)
-    n = 300
+    n = 120
     up = {"chain": lambda i: i - 1, "star": lambda i: 0, "random": lambda i: rnd.randrange(i), "caterpillar": lambda i: i - 1 if i % 2 else max(0, i - 2)}[shape]
     parent = {0: None, **{i: up(i) for i in range(1, n)}, n: None, n + 1: n}
     depth, line, total = {}, {}, defaultdict(int)
