@@ -125,17 +125,18 @@ class SegmentTreeBpe:
     def _encode_piece(self, piece: str) -> list[int]:
         return self.encode_bytes(piece.encode())
 
-    def _encode_chunk(self, chunk: str) -> tuple[str, list[int]]:
+    def _encode_chunk(self, chunk: str) -> tuple[str, list[int], int, bytes]:
+        """Of a stretch that no match crosses: its ids in decimal, its ids, their number, and the bytes that they decode to."""
         stem, stop = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
         if stem.removeprefix(" ").isalpha() and (stem.isascii() or max(stem) < "\u0100"):  # a match of letters, one of the stop
             matches = [stem, stop] if stop else [stem]
         else:
             matches = self.pattern.findall(chunk)
         ids = list(chain.from_iterable(map(self.pieces.__getitem__, matches)))
-        return " ".join(map(str, ids)), ids
+        return " ".join(map(str, ids)), ids, len(ids), self.decode_bytes(ids)
 
-    def encode_joined(self, text: str) -> tuple[str, list[int]]:
-        """Decimal ids joined by a space, and the ids.
+    def _chunks(self, text: str) -> list[tuple[str, list[int], int, bytes]]:
+        """What is known of the chunks of a text.
 
         A text is cut before each plain space whose neighbours can't share a white-space
         match with it, which no match of the pattern crosses; other texts are matched whole.
@@ -145,11 +146,15 @@ class SegmentTreeBpe:
         else:
             first, *rest = text.split(" ")
             chunks = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        found = list(map(self.chunks.__getitem__, chunks)) if text else []
-        return " ".join([x[0] for x in found]), list(chain.from_iterable([x[1] for x in found]))
+        return list(map(self.chunks.__getitem__, chunks)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_joined(text)[1]
+        return list(chain.from_iterable([x[1] for x in self._chunks(text)]))
+
+    def round_trip(self, text: str) -> tuple[str, int, bytes]:
+        """Decimal ids joined by a space, their number, and the bytes that they decode to."""
+        found = self._chunks(text)
+        return " ".join([x[0] for x in found]), sum([x[2] for x in found]), b"".join([x[3] for x in found])
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """Bytes of the ids, joined; an id outside the vocabulary is a KeyError."""
@@ -169,12 +174,12 @@ def bpe_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
         for batch in batches:
             all_ids, sizes, digests, decoded = [], [], [], []
             for text in batch.column(1).to_pylist():
-                joined, ids = bpe.encode_joined(text or "")
+                joined, n, back = bpe.round_trip(text or "")
                 if keep_ids:
-                    all_ids.append(ids)
-                sizes.append(len(ids))
+                    all_ids.append(bpe.encode(text or ""))
+                sizes.append(n)
                 digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
+                decoded.append(hashlib.sha256(back).hexdigest())
             kept = [pa.array(all_ids, pa.list_(pa.int32()))] if keep_ids else []
             arrays = [batch.column(0), *kept, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", *["ids"] * keep_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
