@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 
 from crosstide.llm.common import documents, is_held_out
 
-#: Bounds of what a fit keeps: confirmed toxic texts, unlabelled texts, features looked at and features used.
+#: Bounds of what a fit keeps: confirmed toxic texts, unlabelled texts and features used.
 MAX_POSITIVE = 20_000
 MAX_UNLABELLED = 40_000
-MAX_CANDIDATES = 65_536
 MAX_FEATURES = 8_192
 #: Estimated share of toxic texts among those with a feature, below which it is no evidence.
 MIN_SHARE = 0.25
 #: Word starts of these lengths are features besides whole words.
 STARTS = (4, 5, 6)
+#: A feature that occurs so often in a text, or so often among so many words, counts as a further one.
+LEVELS = ((1, None), (2, None), (4, None), (1, 250), (2, 250))
 #: Words a worker keeps the features of at most.
 CACHE = 400_000
 _WORD = re.compile(r"\w+")
@@ -42,10 +43,11 @@ class ToxicityModel:
 
 
 class Features:
-    """Which columns a text's words have: whole lower-cased words and their starts, hashed."""
+    """Which columns a text's words have: whole lower-cased words and their starts, hashed, by how often they occur."""
 
     def __init__(self, columns: dict[int, int] | None = None):
         self.columns = columns
+        self.bases = None if columns is None else {f & 0xFFFFFFFF for f in columns}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def of_word(self, word: str) -> tuple[int, ...]:
@@ -53,26 +55,32 @@ class Features:
         if found is None:
             names = [f"={word}", *[f"{k}{word[:k]}" for k in STARTS if len(word) >= k]]
             hashes = [zlib.crc32(n.encode("utf-8", "replace")) for n in names]
-            if self.columns is not None:
-                hashes = [self.columns[h] for h in hashes if h in self.columns]
+            if self.bases is not None:
+                hashes = [h for h in hashes if h in self.bases]
             if len(self.known) >= CACHE:
                 self.known.clear()
             found = self.known[word] = tuple(hashes)
         return found
 
     def of(self, text: str | None) -> np.ndarray:
-        """Distinct features of a whole text, ascending."""
-        found: set[int] = set()
-        for word in set(_WORD.findall((text or "").lower())):
-            found.update(self.of_word(word))
+        """Distinct features of a whole text, ascending: a hash, and its level above it where it occurs often enough."""
+        counts: dict[int, int] = {}
+        words = _WORD.findall((text or "").lower())
+        size = len(words)
+        for word, n in Counter(words).items():
+            for h in self.of_word(word):
+                counts[h] = counts.get(h, 0) + n
+        found = [h + (k << 32) for h, n in counts.items() for k, (least, among) in enumerate(LEVELS) if n >= least and (among is None or n * among >= least * size)]
+        if self.columns is not None:
+            found = [self.columns[f] for f in found if f in self.columns]
         return np.array(sorted(found), np.int64)
 
 
-def _feature_counts(texts: DataFrame, columns: dict[int, int] | None) -> DataFrame:
+def _feature_counts(texts: DataFrame) -> DataFrame:
     """Documents per feature: rows (feature, n), summed within each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, counts = Features(columns), Counter()
+        features, counts = Features(), Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"])
@@ -174,18 +182,14 @@ def fit_toxicity(
     prior = toxics / labelled if labelled else 0.0
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chosen = known.filter(toxic).orderBy(F.xxhash64("id"), "id").limit(max_positive).select("id")
-    positive = texts.join(F.broadcast(chosen), "id", "left_semi").select("text")  # at most max_positive ids
-    counts = _feature_counts(positive, None).filter("n >= 3").orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()
-    seen = {r["feature"]: r["n"] for r in counts}
-    order = list(seen)
-    everywhere = dict(_feature_counts(texts.select("text"), {f: i for i, f in enumerate(order)}).collect())
+    positive = texts.join(chosen, "id", "left_semi").select("text")  # at most max_positive ids
     total = texts.count()
-    used = []
-    for i, f in enumerate(order):
-        ratio = (seen[f] + 0.5) / (min(toxics, max_positive) + 1) * (total + 1) / (everywhere.get(i, 0) + 0.5)
-        if ratio * prior >= MIN_SHARE:
-            used.append((seen[f] * np.log(ratio), f))
-    columns = {f: i for i, (_, f) in enumerate(sorted(used, reverse=True)[:MAX_FEATURES])}
+    here = _feature_counts(positive).filter("n >= 3").withColumnRenamed("n", "seen")
+    ratio = (F.col("seen") + 0.5) / (min(toxics, max_positive) + 1) * (total + 1) / (F.coalesce("n", F.lit(0)) + 0.5)
+    rated = here.join(_feature_counts(texts.select("text")), "feature", "left").select("feature", "seen", (F.col("seen") * F.log(ratio)).alias("evidence"), ratio.alias("ratio"))
+    used = rated.filter(F.col("ratio") * prior >= MIN_SHARE).orderBy(F.desc("evidence"), "feature").limit(MAX_FEATURES).collect()
+    columns = {r["feature"]: i for i, r in enumerate(used)}
+    seen = {r["feature"]: r["seen"] for r in used}
     if not columns or not 0 < prior < 1:
         return ToxicityModel({}, np.zeros(0), -np.inf)
     share = min(1.0, max_unlabelled / max(total, 1))
