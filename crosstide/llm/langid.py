@@ -144,7 +144,7 @@ def identify_languages(
         profiles = per_worker(("profiles", dimensions, seed), lambda: Profiles(dimensions, seed))
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).field(text_at).to_pylist():
                 grams, counts = profiles.counts(text or "")
                 name, score = UNKNOWN, 0.0
                 if len(grams) and langs:
@@ -156,7 +156,8 @@ def identify_languages(
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
+    text_at = docs.columns.index(text_col)
     return rows.mapInArrow(predict, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
