@@ -205,7 +205,8 @@ def _within_stars(deltas: DataFrame, percent: int, block: int) -> DataFrame:
         return pd.DataFrame({"a": names[moved], "b": names[roots[moved]]})
 
     kind = deltas.schema["x"].dataType.simpleString()
-    return member.unionByName(seeker).groupBy("c", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    # the blocks of a star are dealt one by one: left to the joins before, all would go by ``c`` to one task
+    return member.unionByName(seeker).repartition("c", "i", "j").groupBy("c", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(
@@ -223,7 +224,7 @@ def near_duplicates(
     holds a whole bucket.
 
     Null text, and text without words, has no shingles and is linked with nothing. Rows that
-    share an id are one vertex. A row without an id is never linked: its component is null and
+    share an id are one vertex, whose texts are linked. A row without an id is never linked: its component is null and
     it is kept. An empty table returns no rows.
     """
     bands = bands_for(percent / 100, rows, miss)
@@ -247,6 +248,10 @@ def near_duplicates(
     linked = 100 * shared >= percent * (F.col("nc") + F.size("plus"))
     deltas = reliable_checkpoint(pairs.withColumn("linked", linked))
     links = deltas.filter("linked").select(F.col("c").alias("a"), F.col("x").alias("b")).union(_within_stars(deltas, percent, block))
+    again = sketches.filter("n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 and id is not null")
+    named = sketches.join(again.select("id"), "id", "left_semi").select("id", "h1", "h2").join(classes.select("h1", "h2", "x"), ["h1", "h2"])
+    one = named.groupBy("id").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a <> b")
+    links = links.union(named.join(one, "id").filter("x <> a").select("a", F.col("x").alias("b")))
     labels = connected_components(links, "a", "b")
     named = (
         classes.select("h1", "h2", "x").join(labels.withColumnRenamed("node", "x"), "x", "left").select("h1", "h2", F.coalesce("component", "x").alias("component"))

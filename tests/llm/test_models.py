@@ -234,6 +234,14 @@ def test_near_duplicates(docs_of, edge_rows, words, percent):
     assert near_duplicates(docs_of([])).collect() == []
 
 
+def test_texts_of_one_id_are_one_vertex(docs_of):
+    from crosstide.llm.minhash import near_duplicates
+
+    a, b, c = "one two three four five six", "the river runs to the sea at night", "quite another text than those two"
+    docs = docs_of([(5, a, None, None), (6, b, None, None), (7, a, None, None), (7, b, None, None), (8, c, None, None), (8, c, None, None)])
+    assert Counter((r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect()) == {(5, 5): 1, (6, 5): 1, (7, 5): 2, (8, 8): 2}
+
+
 def test_bands_hold_the_promised_miss():
     from crosstide.llm.minhash import CirculantMinHash, bands_for
 
