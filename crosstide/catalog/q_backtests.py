@@ -406,6 +406,14 @@ def _(spark, d):
     return out_buckets(rvol(spark, d).buckets, "bucket", "horizon")
 
 
+def coverage_sql(obs: str, scored: str, min_dates: int = 0) -> str:
+    """Dates, halves and observations at five rows of ``obs``; ``scored`` is its (date, ticker, score, fwd) at that horizon."""
+    return f"""WITH days AS (SELECT DISTINCT date, half FROM {obs}),
+o AS (SELECT coalesce(sum(CASE WHEN ic IS NOT NULL THEN n END), 0)::BIGINT AS n_obs FROM {ic_sql(scored, 'date', 'ordinal', 3, 'ticker')})
+SELECT count(*) AS n_dates, min(date) AS start_date, max(date) AS end_date, min(CASE WHEN half = 'H2' THEN date END) AS mid_date,
+ count(CASE WHEN half = 'H1' THEN 1 END) AS n_h1, count(CASE WHEN half = 'H2' THEN 1 END) AS n_h2, max(n_obs) AS n_obs, max(n_obs) >= 100 AND count(*) >= {min_dates} AS sufficient FROM days, o"""
+
+
 @query(
     "volume_backtest_coverage",
     "I-06",
@@ -444,6 +452,15 @@ def est(spark, d):
     return bt.estimates_backtest(revision_score(inp.estimates(spark, d)), inp.bars(spark, d))
 
 
+@query(
+    "revision_backtest_coverage",
+    "I-07",
+    with_parts(coverage_sql("est_obs", "(SELECT date, ticker, score, fwd FROM est_obs WHERE horizon = 5)", 20), "est_obs"),
+)
+def _(spark, d):
+    return bt.coverage(est(spark, d).obs, "ordinal", 3, min_dates=20)
+
+
 @query(
     "revision_backtest_daily",
     "I-07 S-14",
@@ -523,6 +540,15 @@ def _(spark, d):
     return confirm(spark, d).obs.select("ticker", "date", F.col("score").cast("int").alias("score"), "half").distinct()
 
 
+@query(
+    "confirmation_backtest_coverage",
+    "I-08",
+    with_parts(coverage_sql("cf_obs", "(SELECT date, ticker, score, fwd FROM cf_obs WHERE horizon = 5)"), "cf_obs"),
+)
+def _(spark, d):
+    return bt.coverage(confirm(spark, d).obs, "ordinal", 3)
+
+
 @query(
     "confirmation_backtest_daily",
     "I-08",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crosstide.catalog import inputs as inp
@@ -11,6 +13,7 @@ from crosstide.catalog.sqlparts import part, r8s, with_parts
 from crosstide.functions import text as tx
 from crosstide.sources import filings as fl
 from crosstide.sources import form4 as f4
+from crosstide.session import checkpoint_dir
 from crosstide.sources import tables as tb
 from crosstide.sources.bars import bars_from_json
 
@@ -80,6 +83,26 @@ def _(spark, d):
     return tb.upsert(target, batch, ["ticker", "date"], ["seq"]).select("ticker", "date", "close", "volume")
 
 
+@query(
+    "upserted_store",
+    "S-02",
+    with_parts(
+        """SELECT ticker, date, close, volume FROM bars WHERE date < DATE '1998-01-01'
+UNION ALL SELECT ticker, date, close, volume + 2 FROM bars WHERE date >= DATE '1998-01-01'""",
+        "bars",
+    ),
+)
+def _(spark, d):
+    """The upsert of ``upsert_bars`` on a table stored by month, read back."""
+    path = f"{checkpoint_dir(spark)}/bars-{uuid.uuid4().hex}"
+    b = inp.bars(spark, d).select("ticker", "date", "close", "volume").withColumn("month", F.date_format("date", "yyyyMM").cast("int"))
+    tb.upsert_stored(spark, path, b.filter(F.col("date") < day("1999-01-01")), ["ticker", "date"], ["month"])
+    late = b.filter(F.col("date") >= day("1998-01-01"))
+    batch = late.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("volume", F.col("volume") + F.col("seq"))
+    tb.upsert_stored(spark, path, batch, ["ticker", "date"], ["month"], ["seq"])
+    return spark.read.parquet(path).select("ticker", "date", "close", "volume")
+
+
 @query(
     "insert_new_bars",
     "S-03 J-10",
@@ -473,7 +496,7 @@ part(
 SELECT ticker, accession_number, filed_date,
   CASE transaction_code WHEN 'P' THEN [' 2.02 ', '9.01'] WHEN 'S' THEN ['7.01', '5.02'] ELSE CASE WHEN is_officer THEN ['5.02'] ELSE ['9.01'] END END AS items,
   insider_name || CASE insider_title WHEN 'BUILDING' THEN ' announced an acquisition for $' WHEN 'MACHINERY' THEN ' filed an amendment worth $' WHEN 'HOUSEHOLD' THEN ' reports $' ELSE ' corrected an exhibit, CEO to resign, $' END
-   || CAST(floor(total_value / 100) AS BIGINT) || CASE WHEN is_director THEN '.5 Million today.' ELSE ' M today.' END AS text
+   || CAST(floor(total_value / 100) AS BIGINT) || CASE WHEN is_director THEN '.5' || chr(160) || 'Million today.' ELSE ' M today.' END AS text
 FROM trades""",
     "trades",
 )
@@ -486,7 +509,7 @@ FROM (SELECT *, CASE WHEN boost AND NOT down THEN least(rk + 1, 2) WHEN down AND
     CASE WHEN mil >= 1000 THEN 2 WHEN mil >= 100 THEN 1 ELSE 0 END) AS rk,
    {' OR '.join(f"contains(body, '{w}')" for w in tx.BOOST_KEYWORDS)} AS boost, {' OR '.join(f"contains(body, '{w}')" for w in tx.DOWNGRADE_KEYWORDS)} AS down
   FROM (SELECT *, lower(text) AS body, list_filter(list_transform(items, lambda x: trim(x)), lambda x: x IN ({', '.join(f"'{c}'" for c in tx.MATERIAL_ITEMS)})) AS mat,
-    list_max(list_transform(regexp_extract_all(lower(text), '\\$\\s*([\\d,]+(?:\\.\\d+)?)\\s*(billion|million|b|m)\\b', 1), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE))) AS mil FROM landed_filings)))
+    list_max(list_transform(regexp_extract_all(lower(text), '\\$[\\s\\x{{A0}}]*([\\d,]+(?:\\.\\d+)?)[\\s\\x{{A0}}]*(billion|million|b|m)\\b', 1), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE))) AS mil FROM landed_filings)))
 WHERE len(mat) > 0""",
     "landed_filings",
 )

@@ -123,6 +123,38 @@ def _(spark, d):
     return a.select("ticker", "date", "buy_count", "sell_count", "distinct_insiders", r8("total_dollar_value", 4).alias("total_dollar_value"))
 
 
+def _daily_summary_sql(trades: str) -> str:
+    buy, cents = "transaction_code = 'P' AND coalesce(is_open_market, FALSE)", "coalesce(sum(CAST(round(total_value * 100) AS BIGINT)) FILTER ({}), 0) / 100.0::DOUBLE"
+    sold = cents.format("transaction_code = 'S'")
+    return with_parts(
+        f"""SELECT ticker, date, count(*) FILTER ({buy}) AS buy_count, count(DISTINCT insider_name) FILTER ({buy}) AS distinct_insiders, {r8s(cents.format(buy), 4)} AS total_dollar_value,
+ coalesce(bool_or(is_officer) FILTER ({buy}), FALSE) AS has_officer_buys, count(DISTINCT insider_name) FILTER ({buy}) >= 3 AS has_cluster_buy, max(total_value) FILTER ({buy}) AS largest_single_buy,
+ max(transaction_date) FILTER ({buy}) AS most_recent_buy_date, date - max(transaction_date) FILTER ({buy}) AS days_since_last_buy, {r8s(sold, 4)} AS total_sell_value, {sold} >= 500000 AS has_notable_selling,
+ arg_max(insider_title, (total_value, accession_number)) FILTER (transaction_code = 'S' AND total_value IS NOT NULL) AS top_seller_title
+FROM {_active(f"(SELECT * REPLACE (CASE WHEN CAST(accession_number AS BIGINT) % 7 = 0 THEN NULL ELSE insider_name END AS insider_name) FROM {trades})")} GROUP BY 1, 2""",
+        trades,
+    )
+
+
+def _some_nameless(trades):
+    return trades.withColumn("insider_name", F.when(F.col("accession_number").cast("long") % 7 != 0, F.col("insider_name")))
+
+
+def _daily_summary(trades):
+    s = ins.insider_daily_summary(_some_nameless(trades))
+    return s.withColumns({c: r8(c, 4) for c in ("total_dollar_value", "total_sell_value")})
+
+
+@query("insider_daily_summary", "G-15 J-05", _daily_summary_sql("trades"))
+def _(spark, d):
+    return _daily_summary(inp.trades(spark, d))
+
+
+@query("insider_daily_summary_dense", "G-15 J-05", _daily_summary_sql("event_trades"))
+def _(spark, d):
+    return _daily_summary(inp.event_trades(spark, d))
+
+
 @query(
     "recent_purchases",
     "G-18 P-03",
@@ -491,6 +523,25 @@ def _(spark, d):
     return jr.annotate_journal(j, notes(spark, d), "latest")
 
 
+def _note_rows_sql(mode: str) -> str:
+    head, _, _ = _annotated(mode).partition("\na AS (")
+    return f"""{head}
+k AS (SELECT DISTINCT scan_date, ticker, latest FROM j),
+n AS (SELECT f.id, f.ticker, {'f.observation_date' if mode == 'date' else 'k.latest'} AS scan_date, txt AS text FROM fan f {'' if mode == 'date' else 'JOIN (SELECT DISTINCT ticker, latest FROM k) k ON k.ticker = f.ticker'} WHERE txt IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY scan_date, ticker ORDER BY id) AS pos FROM n)
+SELECT scan_date, ticker, parent, pos, id, text FROM j JOIN p USING (scan_date, ticker)"""
+
+
+@query("journal_note_rows_by_date", "J-15", with_parts(_note_rows_sql("date"), "notes", "label_journal"))
+def _(spark, d):
+    return jr.journal_note_rows(label_journal(spark, d), notes(spark, d), "date")
+
+
+@query("journal_note_rows_latest", "J-15", with_parts(_note_rows_sql("latest"), "notes", "label_journal"))
+def _(spark, d):
+    return jr.journal_note_rows(label_journal(spark, d), notes(spark, d), "latest")
+
+
 # ---- divergence history and feeds ---------------------------------------------------
 
 

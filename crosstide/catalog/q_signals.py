@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crosstide.catalog import inputs as inp
@@ -12,6 +14,8 @@ from crosstide.operators import features as ft
 from crosstide.operators import graph as gr
 from crosstide.operators import ranking as rk
 from crosstide.plans import signals as sg
+from crosstide.session import checkpoint_dir, reliable_checkpoint
+from crosstide.streaming.accumulate import accumulate_batch
 
 # ---- graph --------------------------------------------------------------------------
 
@@ -293,6 +297,29 @@ def _(spark, d):
     return out.select("ticker", "parent", "date", r8("rs_score").alias("rs_score"), r8("rs_adj", 7).alias("rs_adj"))
 
 
+@query(
+    "accumulated_in_batches",
+    "G-04",
+    with_parts(
+        f"""SELECT a.ticker, a.parent, a.date, {r8s('rs_score')} AS rs_score, {r8s('rs_adj', 7)} AS rs_adj FROM rs_adj a
+SEMI JOIN bars p ON p.ticker = a.parent AND p.date = a.date WHERE rs_score IS NOT NULL""",
+        "rs_adj",
+        "bars",
+    ),
+)
+def _(spark, d):
+    """All bars in three batches: up to 1996, up to mid-1997 with one month's bars missing, and the rest with that month."""
+    own, market = _split(spark, d)
+    pairs = inp.edges(spark, d).select(F.col("child").alias("ticker"), "parent")
+    bars = reliable_checkpoint(own.select("ticker", "date", "adj_close").unionByName(market.select(F.lit(inp.MARKET).alias("ticker"), "date", "adj_close")))
+    month = F.date_format("date", "yyyyMM").cast("int")
+    number = F.when((month == 199610) | (month > 199706), 2).when(month > 199512, 1).otherwise(0)
+    root = f"{checkpoint_dir(spark)}/strength-{uuid.uuid4().hex}"
+    for k in range(3):
+        accumulate_batch(bars.filter(number == k), k, pairs, inp.MARKET, f"{root}/bars", f"{root}/rs")
+    return spark.read.parquet(f"{root}/rs").select("ticker", "parent", "date", r8("rs_score").alias("rs_score"), r8("rs_adj", 7).alias("rs_adj"))
+
+
 part("nr20", f"SELECT ticker, date, {ret_sql(20)} AS r FROM nr_bars {W}", "nr_bars")
 
 

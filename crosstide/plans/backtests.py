@@ -90,8 +90,8 @@ def bucket_means(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def coverage(obs: DataFrame, rank: str, min_n: int, min_obs: int = 100, reference: int = 5) -> DataFrame:
-    """One row: dates, split and whether the reference horizon has enough observations.
+def coverage(obs: DataFrame, rank: str, min_n: int, min_obs: int = 100, reference: int = 5, min_dates: int = 0) -> DataFrame:
+    """One row: dates, split and whether there are enough dates, and observations at the reference horizon.
 
     ``n_obs`` counts the pairs of the dates that gave an IC.
     """
@@ -105,7 +105,7 @@ def coverage(obs: DataFrame, rank: str, min_n: int, min_obs: int = 100, referenc
         F.min(F.when(F.col("half") == "H2", F.col("date"))).alias("mid_date"),
         F.count(F.when(F.col("half") == "H1", 1)).alias("n_h1"),
         F.count(F.when(F.col("half") == "H2", 1)).alias("n_h2"),
-    ).select("*", n_obs.alias("n_obs"), (n_obs >= min_obs).alias("sufficient"))
+    ).select("*", n_obs.alias("n_obs"), ((n_obs >= min_obs) & (F.col("n_dates") >= min_dates)).alias("sufficient"))
 
 
 def explode_segments(obs: DataFrame, *segments: tuple[str, Column | None], score: dict[str, str] | None = None) -> DataFrame:

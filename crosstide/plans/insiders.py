@@ -48,20 +48,20 @@ def insider_summary(trades: DataFrame, as_of, days: int = WINDOW_DAYS) -> DataFr
     return inside.filter(F.col("transaction_code").isin("P", "S")).groupBy("ticker").agg(*_summary_aggs(F.first(end)))
 
 
-def _buyer_spans(base: DataFrame, days: int) -> DataFrame:
+def _buyer_spans(base: DataFrame, days: int, nameless: bool) -> DataFrame:
     """Disjoint spans in which a name counts as a buyer of a ticker.
 
     A name's window is cut where its next purchase opens a new one, so adding spans up
-    counts every name once. A buyer without a name is one buyer.
+    counts every name once. Buyers without a name are one buyer where ``nameless``, none elsewhere.
     """
     name = F.coalesce("insider_name", F.lit("")).alias("_name")
-    bought = base.filter(_is_buy()).select("ticker", name, F.col("transaction_date").alias("_from")).distinct()
+    bought = base.filter(_is_buy() & (F.lit(nameless) | F.col("insider_name").isNotNull())).select("ticker", name, F.col("transaction_date").alias("_from")).distinct()
     following = F.lead("_from").over(Window.partitionBy("ticker", "_name").orderBy("_from"))
     last = F.least(F.date_add("_from", days - 1), F.date_sub(following, 1))
     return bought.select("ticker", "_from", last.alias("_to"), F.lit(1).alias("distinct_insiders"))
 
 
-def _windows(trades: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
+def _windows(trades: DataFrame, days: int, nameless: bool) -> tuple[DataFrame, DataFrame]:
     """(daily totals with their window, buyer spans) of purchases and sales."""
     base = trades.filter(F.col("transaction_code").isin("P", "S") & F.col("transaction_date").isNotNull())
     buy, sell = _is_buy(), F.col("transaction_code") == "S"
@@ -78,19 +78,20 @@ def _windows(trades: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
         )
         .withColumn("_to", F.date_add("_from", days - 1))
     )
-    return daily, _buyer_spans(base, days)
+    return daily, _buyer_spans(base, days, nameless)
 
 
 MEASURES = ("buy_count", "buy_cents", "officer_buys", "sell_count", "sell_cents", "distinct_insiders")
 
 
-def insider_activity(trades: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+def insider_activity(trades: DataFrame, days: int = WINDOW_DAYS, nameless: bool = False) -> DataFrame:
     """Counts, money and distinct buyers for every (ticker, date) with an open window.
 
     A window runs from the trade to ``days`` - 1 later. Purchases that are not on the
-    open market open a window but count for nothing.
+    open market open a window but count for nothing. Buyers without a name count as in
+    :func:`insider_summary`, not at all, or as one with ``nameless``.
     """
-    daily, spans = _windows(trades, days)
+    daily, spans = _windows(trades, days, nameless)
     zero = {m: F.lit(0).cast("long") for m in MEASURES}
     rows = daily.withColumn("distinct_insiders", zero["distinct_insiders"])
     names = spans.withColumns({m: z for m, z in zero.items() if m != "distinct_insiders"})
@@ -107,6 +108,43 @@ def insider_activity(trades: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     )
 
 
+def insider_daily_summary(trades: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """:func:`insider_summary` as of every date on which a window is open, from one pass.
+
+    Totals and distinct buyers come from :func:`insider_activity`. The largest purchase, the latest one and the seller
+    of the largest sale are maxima of what each day holds at its best, over a frame of ``days`` calendar days: at
+    most as many rows as days, however many trades a ticker has.
+    """
+    base = trades.filter(F.col("transaction_code").isin("P", "S") & F.col("transaction_date").isNotNull())
+    buy, sale = _is_buy(), (F.col("transaction_code") == "S") & F.col("total_value").isNotNull()
+    day = F.col("transaction_date")
+    best = base.groupBy("ticker", day.alias("date")).agg(
+        F.max(F.when(buy, F.col("total_value"))).alias("_largest"),
+        F.max(F.when(buy, day)).alias("_latest"),
+        F.max(F.when(sale, F.struct("total_value", "accession_number", "insider_title"))).alias("_sale"),
+    )
+    activity = insider_activity(trades, days)
+    n, sold = F.col("distinct_insiders"), F.col("total_sell_value")
+    both = activity.withColumn("_asked", F.lit(True)).join(best, ["ticker", "date"], "full")
+    recent = Window.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(1 - days, 0)
+    seen = both.withColumns({f"{c}_seen": F.max(c).over(recent) for c in ("_largest", "_latest", "_sale")}).filter("_asked")
+    return seen.select(
+        "ticker",
+        "date",
+        "buy_count",
+        "distinct_insiders",
+        "total_dollar_value",
+        "has_officer_buys",
+        (n >= CLUSTER_SIZE).alias("has_cluster_buy"),
+        F.col("_largest_seen").alias("largest_single_buy"),
+        F.col("_latest_seen").alias("most_recent_buy_date"),
+        F.date_diff("date", "_latest_seen").alias("days_since_last_buy"),
+        "total_sell_value",
+        (sold >= NOTABLE_SELLING).alias("has_notable_selling"),
+        F.col("_sale_seen.insider_title").alias("top_seller_title"),
+    )
+
+
 def insider_category(buys: Column, cluster: Column, officer: Column, selling: Column) -> Column:
     """One word for the activity; a ticker without a summary is 'none'."""
     none = F.coalesce(buys, F.lit(0)) == 0
@@ -142,7 +180,7 @@ def insider_score(trades: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
     """
     n = F.col("distinct_insiders")
     score = F.when(n >= CLUSTER_SIZE, 2).when(n >= 1, 1).otherwise(-1)
-    active = insider_activity(trades, days).filter((n > 0) | (F.col("sell_count") > 0))
+    active = insider_activity(trades, days, nameless=True).filter((n > 0) | (F.col("sell_count") > 0))
     return active.select("ticker", "date", score.alias("score"), score_label(score).alias("label"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crosstide.operators import features as ft
 from crosstide.operators.asof import asof_forward, asof_join
-from crosstide.operators.ranking import latest_by
+from crosstide.operators.ranking import latest_by, running_total
 from crosstide.sources.tables import upsert
 
 JOURNAL_KEYS = ["scan_date", "ticker", "parent"]
@@ -90,29 +90,43 @@ def divergence_outcomes(flags: DataFrame, bars: DataFrame, as_of, days: int = 30
     return rows.withColumn("outcome_5d", F.round(outcome, 2)).drop(ft.PRICE, "fwd_5")
 
 
-def annotate_journal(journal: DataFrame, notes: DataFrame, mode: str = "date") -> DataFrame:
-    """Append notes to journal rows of their primary and affected tickers.
+def note_rows(journal: DataFrame, notes: DataFrame, mode: str = "date") -> DataFrame:
+    """One row per note of a (scan_date, ticker): scan_date, ticker, pos (from 1, in id order), id, text.
 
-    date    rows of the note's own date
-    latest  rows of each ticker's latest scan date
-    ``notes`` has id, observation_date, type, primary_ticker, affected_tickers (comma
-    text) and note; several notes join in id order with a pipe.
+    date    notes of their own date
+    latest  all notes of a ticker, under its latest scan date
+    ``notes`` has id (each once), observation_date, type, primary_ticker, affected_tickers (comma
+    text) and note. Places are running counts over ranges of rows, so a ticker may hold most notes.
     """
     if mode not in ("date", "latest"):
         raise ValueError(f"unknown mode {mode!r}")
     others = F.coalesce(F.transform(F.split("affected_tickers", ","), lambda t: F.trim(t)), F.array().cast("array<string>"))
     names = F.array_distinct(F.concat(F.array("primary_ticker"), others))
     fan = notes.select(
-        "id", "observation_date", F.explode(names).alias("ticker"), F.concat(F.lit("["), "type", F.lit("] "), "note").alias("_text")
+        "id", "observation_date", F.explode(names).alias("ticker"), F.concat(F.lit("["), "type", F.lit("] "), "note").alias("text")
     ).filter(F.col("ticker") != "")
     if mode == "date":
         keyed = fan.withColumnRenamed("observation_date", "scan_date")
     else:
         latest = journal.groupBy("ticker").agg(F.max("scan_date").alias("scan_date"))
         keyed = fan.drop("observation_date").join(latest, "ticker")
-    # all notes of one ticker and date form one text: that is the value being built
-    text = keyed.groupBy("scan_date", "ticker").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "_text"))), lambda s: s["_text"]), " | ").alias("_add")
+    placed = running_total(keyed.filter(F.col("text").isNotNull()), ["scan_date", "ticker"], ["id"], out="pos")
+    return placed.select("scan_date", "ticker", "pos", "id", "text")
+
+
+def journal_note_rows(journal: DataFrame, notes: DataFrame, mode: str = "date") -> DataFrame:
+    """Journal rows with their notes, one row per (journal row, note): the row's keys, pos, id and text."""
+    return journal.select(*JOURNAL_KEYS).join(note_rows(journal, notes, mode), ["scan_date", "ticker"])
+
+
+def annotate_journal(journal: DataFrame, notes: DataFrame, mode: str = "date") -> DataFrame:
+    """Append notes to journal rows of their primary and affected tickers, joined by a pipe.
+
+    Modes as in :func:`note_rows`. All notes of one ticker and date form one text, the value being built: ask for
+    few rows of a journal, or for :func:`journal_note_rows`, where a ticker has many.
+    """
+    text = note_rows(journal, notes, mode).groupBy("scan_date", "ticker").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " | ").alias("_add")
     )
     joined = journal.join(text, ["scan_date", "ticker"], "left")
     notes_col = F.nullif(F.concat_ws(" | ", F.nullif(F.col("notes"), F.lit("")), "_add"), F.lit(""))

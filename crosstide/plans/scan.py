@@ -164,7 +164,7 @@ def scored_pairs(bars: DataFrame, edges: DataFrame, as_of) -> DataFrame:
 
 def _rank_all(rows: DataFrame) -> DataFrame:
     """Cross-section of one scan date, which is ranked across partitions."""
-    return with_cross_section(rows.withColumn("_all", F.lit(0)), ["_all"], "rs_score", pooled=True).drop("_all")
+    return with_cross_section(rows, [], "rs_score", pooled=True)
 
 
 def scan(

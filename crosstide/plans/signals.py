@@ -161,9 +161,9 @@ def rs_beta_adjusted(
     return rows.select("ticker", "parent", "date", (F.col("ret") - F.col("p_ret")).alias("rs_score"), adj.alias("rs_adj"))
 
 
-def accumulate_rs(bars: DataFrame, pairs: DataFrame, market: DataFrame, existing: DataFrame) -> DataFrame:
+def accumulate_rs(bars: DataFrame, pairs: DataFrame, market: DataFrame, existing: DataFrame, window: int = 20, beta_window: int = 60) -> DataFrame:
     """New (ticker, parent, date, rs_score, rs_adj) rows on dates both sides trade and not yet stored."""
-    scored = rs_beta_adjusted(bars, pairs, market).filter(F.col("rs_score").isNotNull())
+    scored = rs_beta_adjusted(bars, pairs, market, window, beta_window).filter(F.col("rs_score").isNotNull())
     parent_days = bars.select(F.col("ticker").alias("parent"), "date")
     return scored.join(parent_days, ["parent", "date"], "left_semi").join(
         existing.select("ticker", "parent", "date"), ["ticker", "parent", "date"], "left_anti"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstide.functions.text import parse_day, parse_int, parse_num, parse_price
@@ -61,6 +63,42 @@ def write_partitions(df: DataFrame, path: str, *cols: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store its scheme names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_touched(spark: SparkSession, path: str, batch: DataFrame, parts: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows of the stored partitions that a batch has keys in, and how many these are.
+
+    The partition values of the batch reach the driver, as the list of all stored partitions does with any
+    read; they become literals, so only the files of these partitions are listed and read.
+    """
+    stored = spark.read.parquet(path)
+    hit = batch.select(*parts).distinct().collect()
+    if len(parts) == 1:
+        return stored.filter(F.col(parts[0]).isin([r[0] for r in hit])), len(hit)
+    one = [reduce(and_, [F.col(c).eqNullSafe(F.lit(r[c])) for c in parts]) for r in hit]
+    return stored.filter(reduce(or_, one, F.lit(False))), len(hit)
+
+
+def upsert_stored(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], parts: Sequence[str], order: Sequence[str] | None = None) -> int:
+    """Upsert into a table stored by ``parts``, rewriting only the partitions that the batch touches; returns their number.
+
+    The partition columns follow from the keys, so a key never moves between partitions. They are not null. Where nothing
+    is stored yet the batch becomes the table. The new files replace the old ones partition by partition when all are
+    written; a run that fails before leaves the table as it was, and a repeated one gives the same table.
+    """
+    if not path_exists(spark, path):
+        write_partitions(newest(batch, keys, order), path, *parts)
+        return batch.select(*parts).distinct().count()
+    stored, touched = read_touched(spark, path, batch, parts)
+    if touched:
+        write_partitions(upsert(stored, batch, keys, order).select(*stored.columns), path, *parts)
+    return touched
+
+
 # ---- ingest bookkeeping -------------------------------------------------------------
 
 

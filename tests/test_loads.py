@@ -1,3 +1,4 @@
+import os
 import datetime as dt
 import tempfile
 
@@ -360,3 +361,42 @@ def test_notes_join_in_order(spark):
 def test_headlines_keep_first_without_case(spark):
     df = spark.createDataFrame([(2, "Hello"), (1, "HELLO"), (3, "Other")], "rank int, title string")
     assert {(r["rank"], r["title"]) for r in sc.dedupe_text(df, "title", ["rank"]).collect()} == {(1, "HELLO"), (3, "Other")}
+
+
+def test_stored_upsert_touches_its_partitions_only(spark, tmp_path):
+    import glob
+
+    from crosstide.sources import tables as tb
+
+    path = f"{tmp_path}/t"
+    frame = lambda rows: spark.createDataFrame(rows, "k int, part int, side string, v int")
+    files = lambda p: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/part={p}/*/*.parquet")}
+    assert tb.upsert_stored(spark, path, frame([(k, k // 10, "ab"[k % 2], 0) for k in range(40)]), ["k"], ["part", "side"]) == 8
+    before = {p: files(p) for p in range(4)}
+    batch = frame([(11, 1, "b", 5), (11, 1, "b", 7), (13, 1, "b", 6), (50, 5, "a", 1)])
+    assert tb.upsert_stored(spark, path, batch, ["k"], ["part", "side"], ["v"]) == 2
+    assert [p for p in range(4) if files(p) != before[p]] == [1]
+    assert {f: t for f, t in before[1].items() if "side=a" in f}.items() <= files(1).items()
+    got = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert got == {**{k: 0 for k in range(40)}, 11: 7, 13: 6, 50: 1}
+    assert tb.upsert_stored(spark, path, batch.limit(0), ["k"], ["part", "side"]) == 0
+    single = f"{tmp_path}/s"
+    tb.upsert_stored(spark, single, frame([(1, 1, "a", 0), (2, 2, "a", 0)]), ["k"], ["part"])
+    tb.upsert_stored(spark, single, frame([(2, 2, "a", 9)]), ["k"], ["part"])
+    assert {r["k"]: r["v"] for r in spark.read.parquet(single).collect()} == {1: 0, 2: 9}
+
+
+def test_amounts_with_unicode_spaces(spark):
+    text = spark.createDataFrame([("$500\u00a0million",), ("$\u00a0500 million",), ("$2\u2009billion",), ("$500 million",)], "t string")
+    out = text.select(tx.filing_impact(F.array().cast("array<string>"), F.lit(""), F.col("t"), F.lit("8-K")).alias("i"))
+    assert [r["i"] for r in out.collect()] == ["MEDIUM", "MEDIUM", "HIGH", "MEDIUM"]
+
+
+def test_queries_survive_a_missing_library():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    n, ops = out.stdout.split()
+    assert int(n) > 160 and ops == "False"
