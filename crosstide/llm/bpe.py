@@ -5,9 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -18,8 +19,16 @@ from crosstide.llm.common import documents, per_worker
 NO_RANK = 1 << 60
 #: Entries a worker keeps at most per cache, so its memory is bounded.
 CACHE = 300_000
+#: Pieces of up to so many bytes are merged many at a time, as rows of arrays; longer ones, and fewer than LEAST_ROWS, one by one.
+ROW_BYTES = 64
+LEAST_ROWS = 32
+#: Leaves of the trees built at a time, and characters of the texts whose new pieces are merged together.
+LEAVES = 1 << 18
+GATHER = 1 << 20
 #: A white-space character before or after which a cut at a plain space would change the pattern's matches.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
+#: No match of the pattern goes from another character on to a space, so these cuts hold in every text.
+_CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,12 +49,93 @@ class _Recent(dict):
         if found is None:
             found = self.make(key)
         if len(key) <= 64:
-            if len(self) >= CACHE:
-                self.older = dict(self)
-                self.clear()
-            self[key] = found
+            self.remember([(key, found)])
         return found
 
+    def remember(self, found: Iterable[tuple[str, object]]) -> None:
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self.update(found)
+
+    def knows(self, key: str) -> bool:
+        return key in self or key in self.older
+
+
+class _RowTrees:
+    """The segment trees of many short pieces, merged in step: each step takes every root's merge.
+
+    Live tokens are ids; two of them merge where their bytes joined are a token, which a
+    sorted table of pairs answers for all rows at once.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.width = max(ranks.values()) + 1
+        keys, made = [self.width * self.width], [0]  # beyond every pair, so that a search always meets a key
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    keys.append(a * self.width + b)
+                    made.append(rank)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.made = np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        wanted = left * self.width + right
+        found = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[found] == wanted, self.made[found] * size + at, NO_RANK)
+
+    def encode(self, pieces: list[bytes], size: int) -> list[list[int]]:
+        """Token ids of pieces of 2 to ``size`` bytes, a power of two."""
+        rows = len(pieces)
+        n = np.fromiter(map(len, pieces), np.int64, rows)
+        at = np.arange(size)
+        ids = self.bytes[np.frombuffer(b"".join([p.ljust(size, b"\0") for p in pieces]), np.uint8)].reshape(rows, size)
+        live = at < n[:, None]
+        end = np.tile(at + 1, (rows, 1))
+        left = np.tile(at - 1, (rows, 1))
+        tree = np.full((rows, 2 * size), NO_RANK, np.int64)
+        tree[:, size:-1] = np.where(live[:, 1:], self.leaves(ids[:, :-1], ids[:, 1:], at[:-1], size), NO_RANK)
+        low = size
+        while low > 1:
+            tree[:, low // 2 : low] = np.minimum(tree[:, low : 2 * low : 2], tree[:, low + 1 : 2 * low : 2])
+            low //= 2
+        ids, end, left, nodes = ids.ravel(), end.ravel(), left.ravel(), tree.ravel()
+        alive = live.ravel()
+        row = np.flatnonzero(tree[:, 1] != NO_RANK)
+        while len(row):
+            base, root = row * size, nodes[row * (2 * size) + 1]
+            i = root % size
+            j = end[base + i]
+            stop = end[base + j]
+            ids[base + i] = root // size
+            end[base + i] = stop
+            alive[base + j] = False
+            inner = stop < n[row]
+            after = np.where(inner, stop, i)
+            left[(base + after)[inner]] = i[inner]
+            h = left[base + i]
+            before = np.where(h >= 0, h, i)
+            mine = ids[base + i]
+            # the swallowed position loses its pair; the merged one and the live one before it get new pairs
+            put_i = np.where(inner, self.leaves(mine, ids[base + after], i, size), NO_RANK)
+            put_h = np.where(h >= 0, self.leaves(ids[base + before], mine, before, size), put_i)
+            tops = base * 2
+            nodes[tops + size + j] = NO_RANK
+            nodes[tops + size + i] = put_i
+            nodes[tops + size + before] = put_h
+            paths, tops = np.concatenate([j, i, before]) + size >> 1, np.concatenate([tops, tops, tops])
+            while paths[0]:
+                under = tops + 2 * paths
+                nodes[tops + paths] = np.minimum(nodes[under], nodes[under + 1])
+                paths >>= 1
+            row = row[nodes[row * (2 * size) + 1] != NO_RANK]
+        stops = np.cumsum(alive.reshape(rows, size).sum(axis=1)).tolist()
+        flat = ids[alive].tolist()
+        return [flat[a:b] for a, b in zip([0, *stops], stops)]
+
 
 class SegmentTreeBpe:
     """Encoder and decoder for one vocabulary and split pattern.
@@ -64,9 +154,11 @@ class SegmentTreeBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.digits = {rank: str(rank) for rank in self.tokens}
         self.pattern = regex.compile(pattern)
         self.pieces = _Recent(self._encode_piece)
         self.chunks = _Recent(self._encode_chunk)
+        self.trees = _RowTrees(ranks) if all(bytes([b]) in ranks for b in range(256)) else None
 
     def encode_bytes(self, piece: bytes) -> list[int]:
         """Token ids of one match of the pattern; a whole piece that is a token is that token."""
@@ -125,29 +217,70 @@ class SegmentTreeBpe:
     def _encode_piece(self, piece: str) -> list[int]:
         return self.encode_bytes(piece.encode())
 
-    def _encode_chunk(self, chunk: str) -> tuple[str, list[int]]:
+    def _matches(self, chunk: str) -> list[str]:
         stem, stop = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
         if stem.removeprefix(" ").isalpha() and (stem.isascii() or max(stem) < "\u0100"):  # a match of letters, one of the stop
-            matches = [stem, stop] if stop else [stem]
-        else:
-            matches = self.pattern.findall(chunk)
-        ids = list(chain.from_iterable(map(self.pieces.__getitem__, matches)))
-        return " ".join(map(str, ids)), ids
+            return [stem, stop] if stop else [stem]
+        return self.pattern.findall(chunk)
 
-    def encode_joined(self, text: str) -> tuple[str, list[int]]:
-        """Decimal ids joined by a space, and the ids.
+    def _encode_chunk(self, chunk: str) -> tuple[str, tuple[int, ...]]:
+        return self._encode_matches(self._matches(chunk))
+
+    def _encode_matches(self, matches: list[str]) -> tuple[str, tuple[int, ...]]:
+        ids = tuple(chain.from_iterable(map(self.pieces.__getitem__, matches)))
+        return " ".join(map(self.digits.__getitem__, ids)), ids
+
+    def _chunks(self, text: str) -> list[str]:
+        """Stretches of a text that no match of the pattern crosses.
 
         A text is cut before each plain space whose neighbours can't share a white-space
-        match with it, which no match of the pattern crosses; other texts are matched whole.
+        match with it; a text with other spaces only where white space begins with one.
         """
-        if _UNSAFE.search(text):
-            chunks = [text]
-        else:
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        found = list(map(self.chunks.__getitem__, chunks)) if text else []
+        if not text or _UNSAFE.search(text):
+            return _CUT.split(text) if text else []
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+
+    def _meet(self, chunks: list[list[str]]) -> None:
+        """Encodes the short chunks that are new in these texts, their pieces together, and remembers them."""
+        known, older = self.chunks, self.chunks.older
+        new = {c: self._matches(c) for c in set().union(*chunks) if c not in known and c not in older and len(c) <= ROW_BYTES}
+        by_size: dict[int, list[str]] = {}
+        for piece in set().union(*new.values()):
+            if not self.pieces.knows(piece):
+                raw = piece.encode()
+                if raw not in self.ranks and len(raw) <= ROW_BYTES:
+                    by_size.setdefault(1 << (len(raw) - 1).bit_length(), []).append(piece)
+        for size, group in by_size.items():
+            if len(group) >= LEAST_ROWS:
+                step = LEAVES // size
+                for k in range(0, len(group), step):
+                    part = group[k : k + step]
+                    self.pieces.remember(zip(part, self.trees.encode([p.encode() for p in part], size)))
+        known.remember([(c, self._encode_matches(m)) for c, m in new.items()])
+
+    def encode_many(self, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """``encode_joined`` of each text; new short pieces of neighbouring texts are merged together."""
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and size < GATHER:
+                size += len(texts[stop])
+                stop += 1
+            chunks = [self._chunks(t) for t in texts[start:stop]]
+            if self.trees:
+                self._meet(chunks)
+            yield from map(self._joined, chunks)
+            start = stop
+
+    def _joined(self, chunks: list[str]) -> tuple[str, list[int]]:
+        found = list(map(self.chunks.__getitem__, chunks))
         return " ".join([x[0] for x in found]), list(chain.from_iterable([x[1] for x in found]))
 
+    def encode_joined(self, text: str) -> tuple[str, list[int]]:
+        """Decimal ids joined by a space, and the ids."""
+        return self._joined(self._chunks(text))
+
     def encode(self, text: str) -> list[int]:
         return self.encode_joined(text)[1]
 
@@ -168,8 +301,7 @@ def bpe_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
         bpe = per_worker(("bpe", ranks_path, pattern), lambda: SegmentTreeBpe(read_ranks(ranks_path), pattern))
         for batch in batches:
             all_ids, sizes, digests, decoded = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                joined, ids = bpe.encode_joined(text or "")
+            for joined, ids in bpe.encode_many([t or "" for t in batch.column(1).to_pylist()]):
                 if keep_ids:
                     all_ids.append(ids)
                 sizes.append(len(ids))

@@ -40,6 +40,43 @@ def test_byte_bpe(docs_of, edge_rows):
     assert bpe.bpe_ids(docs_of([]), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect() == []
 
 
+def test_byte_bpe_many_texts():
+    """Pieces of many texts merged together equal the library and the single trees, also where the caches overflow."""
+    import tiktoken
+
+    from crosstide.llm import bpe
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own, single = (bpe.SegmentTreeBpe(ranks, P.PATTERN) for _ in range(2))
+    rnd = random.Random(3)
+    letters = "etaoinshrdlu" * 4 + "EZé漢🎉ß'7.-"
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.choice([1, 2, 3, 5, 8, 13, 20, 40, 70])))
+    gap = lambda: rnd.choice([" ", " ", " ", " ", "\n", "   ", " \n ", "\t "])
+    texts = ["", " ", "   "] + ["".join(word() + gap() for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
+    want = [ref.encode_ordinary(t) for t in texts]
+    assert [ids for _, ids in own.encode_many(texts)] == want
+    assert [joined for joined, _ in own.encode_many(texts)] == [" ".join(map(str, ids)) for ids in want]
+    for size in (2, 4, 8, 16, 32, 64):
+        pieces = ["".join(rnd.choice(letters[:50]) for _ in range(rnd.randint(2, size))).encode() for _ in range(200)]
+        pieces = [p for p in pieces if 2 <= len(p) <= size and p not in ranks] + [b"ab" * (size // 2)]
+        assert own.trees.encode(pieces, size) == [ref._encode_single_piece(p) for p in pieces]
+    no_bytes = bpe.SegmentTreeBpe({b"a": 0, b"b": 1, b"ab": 2}, P.PATTERN)
+    assert no_bytes.trees is None and [ids for _, ids in no_bytes.encode_many(["abba ".strip()])] == [[2, 1, 0]]
+
+
+def test_byte_bpe_forgets(monkeypatch):
+    from crosstide.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    monkeypatch.setattr(bpe, "GATHER", 400)
+    own = bpe.SegmentTreeBpe(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    rnd = random.Random(4)
+    texts = [" ".join("".join(rnd.choice("qxzvk") for _ in range(6)) for _ in range(60)) for _ in range(60)]
+    assert [ids for _, ids in own.encode_many(texts)] == [own.encode(t) for t in texts]
+    assert len(own.chunks) <= 400 and len(own.chunks.older) <= 400
+
+
 def fewest_bins(items, limit):
     """Brute force over all ways to put items into bins."""
     best = len(items)
