@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosstide.llm.common import documents, is_held_out
+from crosstide.session import reliable_checkpoint
 
 #: Bounds of what a fit keeps: confirmed toxic texts, unlabelled texts and features used.
 MAX_POSITIVE = 20_000
@@ -27,6 +28,8 @@ STARTS = (4, 5, 6)
 LEVELS = ((1, None), (2, None), (4, None), (1, 250), (2, 250))
 #: Words a worker keeps the features of at most.
 CACHE = 400_000
+#: Bits of the map of hashes that the corpus counts need; 2 MB whatever the corpus.
+MAP_BITS = 24
 _WORD = re.compile(r"\w+")
 
 
@@ -45,8 +48,8 @@ class ToxicityModel:
 class Features:
     """Which columns a text's words have: whole lower-cased words and their starts, hashed, by how often they occur."""
 
-    def __init__(self, columns: dict[int, int] | None = None):
-        self.columns = columns
+    def __init__(self, columns: dict[int, int] | None = None, wanted: np.ndarray | None = None):
+        self.columns, self.wanted = columns, wanted
         self.bases = None if columns is None else {f & 0xFFFFFFFF for f in columns}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -57,6 +60,8 @@ class Features:
             hashes = [zlib.crc32(n.encode("utf-8", "replace")) for n in names]
             if self.bases is not None:
                 hashes = [h for h in hashes if h in self.bases]
+            if self.wanted is not None:
+                hashes = [h for h in hashes if int(self.wanted[(h & (1 << MAP_BITS) - 1) >> 3]) >> (h & 7) & 1]
             if len(self.known) >= CACHE:
                 self.known.clear()
             found = self.known[word] = tuple(hashes)
@@ -76,11 +81,23 @@ class Features:
         return np.array(sorted(found), np.int64)
 
 
-def _feature_counts(texts: DataFrame) -> DataFrame:
-    """Documents per feature: rows (feature, n), summed within each task before the shuffle."""
+def _hash_map(features: DataFrame) -> np.ndarray:
+    """Bytes with the bits set that the low bits of the features' hashes name, made of at most 2**MAP_BITS / 8 grouped rows."""
+    bit = f"feature & {(1 << MAP_BITS) - 1}"
+    parts = features.groupBy(F.expr(f"({bit}) >> 3").alias("at")).agg(F.expr("bit_or(1 << cast(feature & 7 as int))").alias("bits")).toPandas()
+    out = np.zeros(1 << MAP_BITS - 3, np.uint8)
+    out[parts["at"].to_numpy(np.int64)] = parts["bits"].to_numpy(np.int64)
+    return out
+
+
+def _feature_counts(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """Documents per feature: rows (feature, n), summed within each task before the shuffle.
+
+    With ``wanted``, a map of hashes, features outside it are left out; it lets a few others through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, counts = Features(), Counter()
+        features, counts = Features(wanted=wanted), Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"])
@@ -184,9 +201,9 @@ def fit_toxicity(
     chosen = known.filter(toxic).orderBy(F.xxhash64("id"), "id").limit(max_positive).select("id")
     positive = texts.join(chosen, "id", "left_semi").select("text")  # at most max_positive ids
     total = texts.count()
-    here = _feature_counts(positive).filter("n >= 3").withColumnRenamed("n", "seen")
+    here = reliable_checkpoint(_feature_counts(positive).filter("n >= 3").withColumnRenamed("n", "seen"))
     ratio = (F.col("seen") + 0.5) / (min(toxics, max_positive) + 1) * (total + 1) / (F.coalesce("n", F.lit(0)) + 0.5)
-    rated = here.join(_feature_counts(texts.select("text")), "feature", "left").select("feature", "seen", (F.col("seen") * F.log(ratio)).alias("evidence"), ratio.alias("ratio"))
+    rated = here.join(_feature_counts(texts.select("text"), _hash_map(here)), "feature", "left").select("feature", "seen", (F.col("seen") * F.log(ratio)).alias("evidence"), ratio.alias("ratio"))
     used = rated.filter(F.col("ratio") * prior >= MIN_SHARE).orderBy(F.desc("evidence"), "feature").limit(MAX_FEATURES).collect()
     columns = {r["feature"]: i for i, r in enumerate(used)}
     seen = {r["feature"]: r["seen"] for r in used}
