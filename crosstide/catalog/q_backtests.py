@@ -331,6 +331,20 @@ def _(spark, d):
     return f.select(r8("vol_ratio").alias("vol_ratio"), "flagged")
 
 
+@query(
+    "walk_forward_split",
+    "I-03 I-05",
+    with_parts(
+        """SELECT count(*) AS n_dates, CASE WHEN count(*) >= 4 THEN min(date) END AS start_date,
+  CASE WHEN count(*) >= 4 THEN min(date) FILTER (pos >= n // 2) END AS mid_date, CASE WHEN count(*) >= 4 THEN max(date) END AS end_date
+FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM wf_obs))""",
+        "wf_obs",
+    ),
+)
+def _(spark, d):
+    return bt.split_dates(wf(spark, d))
+
+
 _BR = "CASE WHEN parent_ret_20d > 0 THEN 'strong' WHEN parent_ret_20d >= -0.05::DOUBLE THEN 'mild' WHEN parent_ret_20d >= -0.15::DOUBLE THEN 'correction' WHEN parent_ret_20d IS NOT NULL THEN 'drawdown' END"
 
 

@@ -43,6 +43,28 @@ def asof_join(
     return probe.join(found.select(*by, on, *hits), [*by, on], "left")
 
 
+def asof_grid(
+    facts: DataFrame, dates: DataFrame, by: Sequence[str], on: str, cols: Sequence[str], fact_date: str | None = None
+) -> DataFrame:
+    """The latest fact of every key on each of ``dates``: a row per (key, date) from the key's first fact on.
+
+    A fact holds until the day before the key's next one, the last fact to the last of
+    ``dates``. Its days are laid out and kept where they are asked for, so one window
+    over the facts answers every probe, and probes meet the grid by equality.
+    ``facts`` must be unique by (by, on); ``dates`` has distinct days in a column ``on``.
+    """
+    by = list(by)
+    w = Window.partitionBy(*by).orderBy(on)
+    extra = [F.col("_from").alias(fact_date)] if fact_date else []
+    held = facts.filter(F.col(on).isNotNull()).select(
+        *by, F.col(on).alias("_from"), F.date_sub(F.lead(on).over(w), 1).alias("_until"), *cols
+    )
+    # least() passes over the missing end of a last fact
+    held = held.withColumn("_until", F.least("_until", dates.agg(F.max(on)).scalar())).filter("_from <= _until")
+    days = held.withColumn(on, F.explode(F.sequence("_from", "_until")))
+    return days.join(dates.select(on), on, "left_semi").select(*by, on, *cols, *extra)
+
+
 def asof_forward(
     probe: DataFrame,
     facts: DataFrame,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.operators import features as ft
-from crosstide.operators.asof import asof_forward, asof_join
+from crosstide.operators.asof import asof_forward, asof_grid, asof_join
 from crosstide.operators.graph import unique_edges
 from crosstide.operators.ic import (
     ic_summary,
@@ -40,9 +40,11 @@ from crosstide.plans.signals import (
     every_nth_date,
     megacap_composite,
     on_dates,
+    pair_signal,
     sector_rotation,
     with_parent,
 )
+from crosstide.session import reliable_checkpoint
 
 HORIZONS = (5, 10, 20)
 ACTIONS = ("STRONG_BUY", "BUY", "HOLD", "SELL")
@@ -168,14 +170,65 @@ def stability(h1: Column, h2: Column) -> Column:
 # ---- graph walk-forward -------------------------------------------------------------
 
 
-def rebalance_dates(bars: DataFrame, lookback: int = 20, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Every fifth trading date of the window after the lookback, without the last one."""
-    window = bars
+def _in_window(bars: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start:
-        window = window.filter(F.col("date") >= F.lit(start).cast("date"))
+        bars = bars.filter(F.col("date") >= F.lit(start).cast("date"))
     if end:
-        window = window.filter(F.col("date") <= F.lit(end).cast("date"))
-    return every_nth_date(window, 5, lookback, drop_last=True)
+        bars = bars.filter(F.col("date") <= F.lit(end).cast("date"))
+    return bars
+
+
+def rebalance_dates(bars: DataFrame, lookback: int = 20, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Every fifth trading date of the window after the lookback, without the last one."""
+    return every_nth_date(_in_window(bars, start, end), 5, lookback, drop_last=True)
+
+
+def require_history(bars: DataFrame, edges: DataFrame, need: int, start: str | None, end: str | None, parents: Sequence[str] | None) -> None:
+    """Errors for a window of fewer than ``need`` trading dates and for parents without an edge."""
+    if parents:
+        # at most one row per name asked for
+        known = {r["parent"] for r in edges.filter(F.col("parent").isin(*parents)).select("parent").distinct().collect()}
+        unknown = sorted(set(parents) - known)
+        if unknown:
+            raise ValueError(f"unknown parents: {unknown}")
+    n = _in_window(bars, start, end).agg(F.count_distinct("date")).first()[0]
+    if n < need:
+        raise ValueError(f"insufficient price history: {n} trading dates, {need} are needed")
+
+
+def rebalanced_states(bars: DataFrame, dates: DataFrame, horizon: int = 5, lookback: int = 20) -> DataFrame:
+    """State and outcome of every ticker on every rebalancing date, from its own last row; written once.
+
+    ret and vol over the lookback, ret_20d and vol_20d for the diagnostics; fwd enters at the
+    next close, diag_<h> at the first close on or after the date: a date on which the ticker
+    trades starts them at that row, any other date at the next one. Everything ahead is a lead
+    on that row. A ticker has no row before its first bar.
+    """
+    diag = (1, 5, 10, 20)
+    ahead = sorted({1, horizon, *diag, *(h + 1 for h in diag)})
+    feats = ft.with_realized_vol(bars.select("ticker", "date", ft.PRICE))
+    if lookback != 20:
+        feats = ft.with_realized_vol(feats, lookback, "vol")
+    feats = feats.select(
+        "ticker",
+        "date",
+        ft.ret(lookback).alias("ret"),
+        F.col("vol_20d" if lookback == 20 else "vol").alias("vol"),
+        ft.ret(20).alias("ret_20d"),
+        "vol_20d",
+        F.col(ft.PRICE).alias("_a0"),
+        *[F.lead(ft.PRICE, k).over(ft.per_ticker()).alias(f"_a{k}") for k in ahead],
+    )
+    grid = asof_grid(feats, dates, ["ticker"], "date", feats.columns[2:], fact_date="_own")
+    change = lambda to, base: ft.ratio(to - base, base)
+    traded = F.col("_own") == F.col("date")
+    step = lambda h: F.when(traded, F.col(f"_a{h}")).otherwise(F.col(f"_a{h + 1}"))
+    states = grid.select(
+        "ticker", "date", "ret", "vol", "ret_20d", "vol_20d",
+        change(F.col(f"_a{horizon}"), F.col("_a1")).alias("fwd"),
+        *[change(step(h), step(0)).alias(f"diag_{h}") for h in diag],
+    )
+    return reliable_checkpoint(states)
 
 
 def walk_forward_obs(
@@ -188,59 +241,60 @@ def walk_forward_obs(
     end: str | None = None,
     parents: Sequence[str] | None = None,
     tickers: Sequence[str] | None = None,
+    states: DataFrame | None = None,
 ) -> DataFrame:
     """Observations of every fifth trading date: score, action, returns, risk and parent state.
 
-    fwd enters at the next close; diag_<h> enters at the first close on or after the date.
-    Prices before the window count towards lookbacks.
+    Prices before the window count towards lookbacks. Both sides of a pair meet
+    ``states`` (``rebalanced_states`` of the same window, made here unless given) by
+    equality; a registered signal of another form is scored by its own function first.
     """
     if signal not in SIGNALS:
         raise ValueError(f"unknown signal {signal!r}; available: {sorted(SIGNALS)}")
-    dates = rebalance_dates(bars, lookback, start, end)
+    require_history(bars, edges, lookback + horizon + 10, start, end, parents)
     e = unique_edges(edges)
     if parents:
         e = e.filter(F.col("parent").isin(*parents))
     if tickers:
         e = e.filter(F.col("child").isin(*tickers))
-    scored = SIGNALS[signal](bars, e, lookback, dates).select("ticker", "parent", "date", "score")
-    return _with_outcomes(bars, scored, horizon)
-
-
-def _with_outcomes(bars: DataFrame, scored: DataFrame, horizon: int) -> DataFrame:
-    """Add returns, risk and parent state from each side's last row on or before the date.
-
-    Everything ahead is a lead on that row, so one as-of join per side answers all columns.
-    A date on which the child itself trades starts the diagnostic returns at that row,
-    any other date at the next row.
-    """
-    diag = (0, 1, 5, 10, 20)
-    ahead = sorted({1, horizon, *diag, *(h + 1 for h in diag)})
-    feats = ft.with_realized_vol(bars.select("ticker", "date", ft.PRICE)).select(
-        "ticker",
-        "date",
-        "vol_20d",
-        ft.ret(20).alias("ret_20d"),
-        *[F.lead(ft.PRICE, k).over(ft.per_ticker()).alias(f"_a{k}") for k in ahead],
-    )
-    out = asof_join(scored, feats, ["ticker"], "date", ["vol_20d", *[f"_a{k}" for k in ahead]], fact_date="_own")
-    out = with_parent(out, feats, ["ret_20d"]).withColumnRenamed("p_ret_20d", "parent_ret_20d")
-    out = with_cross_section(out, ["date"], "score")
-    change = lambda to, base: ft.ratio(to - base, base)
-    traded = F.col("_own") == F.col("date")
-    step = lambda h: F.when(traded, F.col(f"_a{h}")).otherwise(F.col(f"_a{h + 1}"))
-    return out.select(
+    dates = rebalance_dates(bars, lookback, start, end)
+    if states is None:
+        states = rebalanced_states(bars, dates, horizon, lookback)
+    led = states.select(F.col("ticker").alias("parent"), "date", F.col("ret").alias("p_ret"), F.col("ret_20d").alias("parent_ret_20d"))
+    own = states.drop("ret_20d")
+    score = pair_signal(signal)
+    if score is None:
+        scored = SIGNALS[signal](bars, e, lookback, dates).select("ticker", "parent", "date", "score")
+        rows = scored.join(own, ["ticker", "date"], "left").join(led, ["parent", "date"], "left")
+    else:
+        # a pair has no score where a side has no state
+        pairs = e.select(F.col("child").alias("ticker"), "parent", "weight")
+        rows = pairs.join(own, "ticker").join(led, ["parent", "date"]).withColumn("score", score).filter(F.col("score").isNotNull())
+    return with_cross_section(rows, ["date"], "score").select(
         "ticker",
         "parent",
         "date",
         "score",
         action_label(F.col("pct_below")).alias("action"),
-        change(F.col(f"_a{horizon}"), F.col("_a1")).alias("fwd"),
-        *[change(step(h), step(0)).alias(f"diag_{h}") for h in (1, 5, 10, 20)],
+        "fwd",
+        *[f"diag_{h}" for h in (1, 5, 10, 20)],
         "vol_20d",
         "parent_ret_20d",
     )
 
 
+def split_dates(obs: DataFrame) -> DataFrame:
+    """One row: dates, and the first, middle and last of them; NULL with fewer than four, which are not split."""
+    days = with_date_half(obs.select("date").distinct())
+    split = lambda c: F.when(F.count(F.lit(1)) >= 4, c)
+    return days.agg(
+        F.count(F.lit(1)).alias("n_dates"),
+        split(F.min("date")).alias("start_date"),
+        split(F.min(F.when(F.col("half") == "H2", F.col("date")))).alias("mid_date"),
+        split(F.max("date")).alias("end_date"),
+    )
+
+
 def quintile_stats(obs: DataFrame) -> DataFrame:
     """Per action: count, mean forward returns, hit rate of the primary horizon, mean volatility."""
     actions = obs.sparkSession.createDataFrame([(a,) for a in ACTIONS], "action string")
@@ -263,8 +317,10 @@ def vol_ratio_flag(quintiles: DataFrame) -> DataFrame:
 def segment_ic(obs: DataFrame, min_n: int = 5, min_half: int = 20) -> DataFrame:
     """Average-rank IC per parent, parent direction and parent regime, and per regime and half.
 
-    Constant or small segments are left out. Halves need at least four dates.
+    Constant or small segments are left out. Halves need at least four dates. The
+    observations are written once; the ranks and halves read that table.
     """
+    obs = reliable_checkpoint(obs.select("date", "ticker", "parent", "score", "fwd", "parent_ret_20d"))
     r = F.col("parent_ret_20d")
     n_dates = obs.select("date").distinct().agg(F.count(F.lit(1))).scalar()
     halves = with_date_half(obs)
@@ -337,9 +393,14 @@ def walk_forward(
     tickers: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row: Sharpe, drawdown and IC summary (population deviation) of the rebalanced signal."""
-    obs = walk_forward_obs(bars, edges, signal, horizon, lookback, start, end, parents, tickers)
+    if signal not in SIGNALS:
+        raise ValueError(f"unknown signal {signal!r}; available: {sorted(SIGNALS)}")
+    states = rebalanced_states(bars, rebalance_dates(bars, lookback, start, end), horizon, lookback)
+    obs = walk_forward_obs(bars, edges, signal, horizon, lookback, start, end, parents, tickers, states)
+    obs = reliable_checkpoint(obs.select("ticker", "parent", "date", "score", "fwd"))
     ics = ic_summary(spearman(obs, ["date"], "average", 5), [], ddof=0)
-    perf = performance(period_returns(obs, rebalance_dates(bars, lookback, start, end)), horizon)
+    # some ticker trades on every rebalancing date, so the states name them all
+    perf = performance(period_returns(obs, states.select("date").distinct()), horizon)
     # one row each: the IC summary rides along as a scalar
     ic = ics.select(F.struct("n_dates", "ic_mean", "ic_std", "ic_ir")).scalar()
     zero = F.lit(0.0)

@@ -99,10 +99,22 @@ def rs_normalized(bars: DataFrame, edges: DataFrame, lookback: int = 20, dates:
     return edge_scores(bars, edges, lookback, dates, normalized=True).filter(F.col("score").isNotNull())
 
 
+def pair_strength(normalized: bool = False) -> Column:
+    """The score of ``edge_scores`` on a row that holds ret and vol of the child, p_ret of the parent and the weight."""
+    raw = (F.col("ret") - F.col("p_ret")) * F.coalesce("weight", F.lit(1.0))
+    return ft.ratio(raw, F.col("vol")) if normalized else raw
+
+
 # name -> callable(bars, edges, lookback, dates): the extension point for scored signals
 SIGNALS: dict[str, Callable[..., DataFrame]] = {"rs": rs, "rs_normalized": rs_normalized}
 
 
+def pair_signal(name: str) -> Column | None:
+    """The expression of a signal over (ret, vol, p_ret, weight), None where a function of its own scores it."""
+    built_in = {"rs": (rs, False), "rs_normalized": (rs_normalized, True)}.get(name)
+    return pair_strength(built_in[1]) if built_in and SIGNALS.get(name) is built_in[0] else None
+
+
 def register_signal(name: str, fn: Callable[..., DataFrame]) -> None:
     SIGNALS[name] = fn
 

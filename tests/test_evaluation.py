@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosstide.operators import ic as icm
-from crosstide.operators.asof import active_totals, asof_forward, asof_join
+from crosstide.operators.asof import active_totals, asof_forward, asof_grid, asof_join
 from crosstide.operators.ranking import average_rank, ordinal_rank, running_total
 from crosstide.plans import backtests as bt
 
@@ -204,3 +204,47 @@ def test_verdicts(spark):
 def test_unknown_signal_is_rejected(bars_of, edges_of):
     with pytest.raises(ValueError):
         bt.walk_forward_obs(bars_of(A=[1, 2]), edges_of(("A", "B", 1.0)), signal="nope")
+
+
+def test_short_history_and_unknown_parents_are_errors(bars_of, edges_of):
+    with pytest.raises(ValueError, match="34 trading dates, 35"):
+        bt.walk_forward_obs(bars_of(A=[1.0] * 34, B=[1.0] * 20), edges_of(("A", "B", 1.0)))
+    with pytest.raises(ValueError, match=r"unknown parents: \['C'\]"):
+        bt.walk_forward_obs(bars_of(A=[1.0] * 60), edges_of(("A", "B", 1.0)), parents=["C", "A"])
+
+
+def test_grid_takes_the_latest_fact_on_every_date_asked_for(spark):
+    random.seed(8)
+    facts = sorted({("hot" if i % 3 else f"k{i % 4}", day(random.randrange(50))) for i in range(60)})
+    asked = [day(i) for i in (0, 3, 7, 8, 30, 49, 60)]
+    f = spark.createDataFrame([(t, d, i) for i, (t, d) in enumerate(facts)], "t string, date date, v int")
+    dates = spark.createDataFrame([(d,) for d in asked], "date date")
+    got = {(r["t"], r["date"]): (r["v"], r["fd"]) for r in asof_grid(f, dates, ["t"], "date", ["v"], fact_date="fd").collect()}
+    want = {}
+    for key in {t for t, _ in facts}:
+        for d in asked:
+            earlier = [(fd, i) for i, (t, fd) in enumerate(facts) if t == key and fd <= d]
+            if earlier:
+                want[(key, d)] = (max(earlier)[1], max(earlier)[0])
+    assert got == want
+    assert asof_grid(f, dates.limit(0), ["t"], "date", ["v"]).count() == 0
+
+
+def test_registered_signals_of_any_form_meet_the_states(spark, bars_of, edges_of):
+    from crosstide.plans import signals as sg
+
+    random.seed(2)
+    b = bars_of(P=[100 + random.random() for _ in range(60)], A=[50 + random.random() for _ in range(60)], B=[9 + random.random() for _ in range(60)])
+    e = edges_of(("P", "A", 1.0), ("P", "B", 2.0))
+    sg.register_signal("same", lambda bars, edges, lookback, dates: sg.rs(bars, edges, lookback, dates))
+    try:
+        rows = lambda name: sorted(tuple(r) for r in bt.walk_forward_obs(b, e, name, 5).collect())
+        assert rows("same") == rows("rs") != []
+    finally:
+        sg.SIGNALS.pop("same")
+
+
+def test_split_dates_needs_four(spark):
+    rows = lambda n: spark.createDataFrame([(day(i % n),) for i in range(12)], "date date")
+    assert tuple(bt.split_dates(rows(3)).first()) == (3, None, None, None)
+    assert tuple(bt.split_dates(rows(5)).first()) == (5, day(0), day(2), day(4))

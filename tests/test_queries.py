@@ -27,6 +27,10 @@ CORE = [
     "form4_trades",
     "concentrations",
     "liquidity_gate",
+    "walk_forward_observations",
+    "walk_forward_performance",
+    "walk_forward_split",
+    "segment_information_coefficients",
 ]
 PLANNED = ["dependent_scan", "captured_journal", "theme_scan", "scored_edges", "insider_daily_summary"]
 NAMES = sorted(ENTRIES) if os.environ.get("ALL_QUERIES") else CORE
@@ -64,6 +68,14 @@ def test_no_registered_plan_multiplies_rows(spark):
     assert {r["ticker"]: r["pct_below"] for r in ranked.collect()} == {"a": 0.0, "b": 0.5}
 
 
+@pytest.mark.parametrize("name", ["walk_forward_observations", "walk_forward_performance", "segment_information_coefficients"])
+def test_walk_forward_plans_scan_few_tables(spark, name):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    plan = ENTRIES[name].run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 10, plan
+
+
 def test_step_reads_a_tail_and_late_bars_reopen_their_dates(spark):
     from crosstide.plans.signals import accumulate_rs
     from crosstide.streaming import accumulate as ac
