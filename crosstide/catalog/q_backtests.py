@@ -847,34 +847,41 @@ def _(spark, d):
     return out_pooled(theme(spark, d).combined)
 
 
-part(
-    "ct_rows",
-    f"""
-SELECT ticker, benchmark, date, n5, n10, n20, sig AS signal, CASE sig WHEN 'rvol' THEN rv WHEN 'rs_vs_broad' THEN r20 - x ELSE r20 - b END AS score
-FROM (SELECT q.*, m.m AS x FROM (SELECT o.*, b.r AS b FROM (SELECT a.ticker, t.benchmark, a.date, a.r20, CASE WHEN a.pos > 20 THEN a.rv END AS rv, n5, n10, n20,
-    row_number() OVER (PARTITION BY a.ticker ORDER BY a.date) AS p, count(*) OVER (PARTITION BY a.ticker) AS len
-    FROM bt a JOIN themes t ON t.ticker = a.ticker WHERE a.date >= DATE '1998-01-01') o
-  ASOF LEFT JOIN nr20 b ON b.ticker = o.benchmark AND o.date >= b.date) q ASOF LEFT JOIN mr20 m ON q.date >= m.date WHERE p <= len - 20), (VALUES ('rvol'), ('rs_vs_broad'), ('rs_vs_benchmark')) s(sig)
-WHERE coalesce(n5, n10, n20) IS NOT NULL""",
-    "bt",
-    "themes",
-    "nr20",
-    "mr20",
-)
-part(
-    "ct_long",
-    f"""
-SELECT *, {NF} AS fwd, CASE WHEN row_number() OVER (PARTITION BY ticker, benchmark, signal, horizon ORDER BY date) - 1 < count(*) OVER (PARTITION BY ticker, benchmark, signal, horizon) // 2 THEN 'H1' ELSE 'H2' END AS half,
-  count(*) OVER (PARTITION BY ticker, benchmark, signal, horizon) AS n_obs FROM ct_rows, {HV} WHERE score IS NOT NULL""",
-    "ct_rows",
-)
-part(
-    "ct_ic",
-    f"""
-SELECT k.ticker, k.benchmark, k.signal, k.horizon, k.n_obs, {', '.join(f'CASE WHEN k.n_obs >= 30 THEN {c} END AS {c}' for c in ('ic', 'ic_h1', 'ic_h2'))}
-FROM (SELECT DISTINCT ticker, benchmark, signal, horizon, n_obs FROM ct_long) k LEFT JOIN {halves_sql('ct_long', 'ticker, benchmark, signal, horizon', 'average', 5)} i USING (ticker, benchmark, signal, horizon)""",
-    "ct_long",
-)
+def ct_parts(p: str, since: str, n: int) -> None:
+    """ICs of one catalyst window: a condition on its dates and the fewest observations."""
+
+    part(
+        f"{p}_rows",
+        f"""
+    SELECT ticker, benchmark, date, n5, n10, n20, sig AS signal, CASE sig WHEN 'rvol' THEN rv WHEN 'rs_vs_broad' THEN r20 - x ELSE r20 - b END AS score
+    FROM (SELECT q.*, m.m AS x FROM (SELECT o.*, b.r AS b FROM (SELECT a.ticker, t.benchmark, a.date, a.r20, CASE WHEN a.pos > 20 THEN a.rv END AS rv, n5, n10, n20,
+        row_number() OVER (PARTITION BY a.ticker ORDER BY a.date) AS p, count(*) OVER (PARTITION BY a.ticker) AS len
+        FROM bt a JOIN themes t ON t.ticker = a.ticker {since}) o
+      ASOF LEFT JOIN nr20 b ON b.ticker = o.benchmark AND o.date >= b.date) q ASOF LEFT JOIN mr20 m ON q.date >= m.date WHERE p <= len - 20), (VALUES ('rvol'), ('rs_vs_broad'), ('rs_vs_benchmark')) s(sig)
+    WHERE coalesce(n5, n10, n20) IS NOT NULL""",
+        "bt",
+        "themes",
+        "nr20",
+        "mr20",
+    )
+    part(
+        f"{p}_long",
+        f"""
+    SELECT *, {NF} AS fwd, CASE WHEN row_number() OVER (PARTITION BY ticker, benchmark, signal, horizon ORDER BY date) - 1 < count(*) OVER (PARTITION BY ticker, benchmark, signal, horizon) // 2 THEN 'H1' ELSE 'H2' END AS half,
+      count(*) OVER (PARTITION BY ticker, benchmark, signal, horizon) AS n_obs FROM {p}_rows, {HV} WHERE score IS NOT NULL""",
+        f"{p}_rows",
+    )
+    part(
+        f"{p}_ic",
+        f"""
+    SELECT k.ticker, k.benchmark, k.signal, k.horizon, k.n_obs, {', '.join(f'CASE WHEN k.n_obs >= {n} THEN {c} END AS {c}' for c in ('ic', 'ic_h1', 'ic_h2'))}
+    FROM (SELECT DISTINCT ticker, benchmark, signal, horizon, n_obs FROM {p}_long) k LEFT JOIN {halves_sql(f'{p}_long', 'ticker, benchmark, signal, horizon', 'average', 5)} i USING (ticker, benchmark, signal, horizon)""",
+        f"{p}_long",
+    )
+
+
+ct_parts("ct", "WHERE a.date >= DATE '1998-01-01'", 30)
+ct_parts("cf", "", 100)
 
 
 def catalyst(spark, d):
@@ -891,19 +898,46 @@ def _(spark, d):
     return p.select("ticker", "benchmark", "signal", "horizon", "n_obs", r8("ic").alias("ic"), r8("ic_h1").alias("ic_h1"), r8("ic_h2").alias("ic_h2"))
 
 
+def ct_verdict_sql(t: str, n: int) -> str:
+    return f"""WITH p AS (SELECT ticker, benchmark, signal, max(n_obs) AS n_obs, {_PASS} AND max(n_obs) >= {n} AS passes FROM {t} GROUP BY 1, 2, 3),
+b AS (SELECT ticker, benchmark, signal AS best_signal, {r8s('ic')} AS best_ic FROM {t} WHERE horizon IN (10, 20) AND ic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, benchmark ORDER BY {t}.ic DESC, signal DESC) = 1)
+SELECT v.ticker, v.benchmark, verdict, best_signal, best_ic FROM (SELECT ticker, benchmark, CASE WHEN max(n_obs) < {n} THEN 'INSUFFICIENT DATA' WHEN bool_or(passes) THEN 'ACTIVATE' ELSE 'WATCH' END AS verdict FROM p GROUP BY 1, 2) v LEFT JOIN b USING (ticker, benchmark)"""
+
+
+@query("catalyst_verdicts", "I-13 I-17", with_parts(ct_verdict_sql("ct_ic", 30), "ct_ic"))
+def _(spark, d):
+    v = catalyst(spark, d)[1]
+    return v.select("ticker", "benchmark", "verdict", "best_signal", r8("best_ic").alias("best_ic"))
+
+
+def ct_windows(spark, d):
+    b = inp.series(spark, d, "nation", "region", "market")
+    return bt.catalyst_windows(b, inp.themes(spark, d), inp.MARKET, [("full", None, 100), ("recent", "1998-01-01", 30)])
+
+
+_CT_COLS = f"ticker, benchmark, signal, horizon, n_obs, {r8s('ic')} AS ic, {r8s('ic_h1')} AS ic_h1, {r8s('ic_h2')} AS ic_h2"
+
+
 @query(
-    "catalyst_verdicts",
+    "catalyst_windows",
+    "I-13",
+    with_parts(f"SELECT 'full' AS \"window\", {_CT_COLS} FROM cf_ic UNION ALL SELECT 'recent', {_CT_COLS} FROM ct_ic", "ct_ic", "cf_ic"),
+)
+def _(spark, d):
+    p = ct_windows(spark, d)[0]
+    return p.select("window", "ticker", "benchmark", "signal", "horizon", "n_obs", r8("ic").alias("ic"), r8("ic_h1").alias("ic_h1"), r8("ic_h2").alias("ic_h2"))
+
+
+@query(
+    "catalyst_window_verdicts",
     "I-13 I-17",
     with_parts(
-        f"""WITH p AS (SELECT ticker, benchmark, signal, max(n_obs) AS n_obs, {_PASS} AND max(n_obs) >= 30 AS passes FROM ct_ic GROUP BY 1, 2, 3),
-b AS (SELECT ticker, benchmark, signal AS best_signal, {r8s('ic')} AS best_ic FROM ct_ic WHERE horizon IN (10, 20) AND ic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, benchmark ORDER BY ct_ic.ic DESC, signal DESC) = 1)
-SELECT v.ticker, v.benchmark, verdict, best_signal, best_ic FROM (SELECT ticker, benchmark, CASE WHEN max(n_obs) < 30 THEN 'INSUFFICIENT DATA' WHEN bool_or(passes) THEN 'ACTIVATE' ELSE 'WATCH' END AS verdict FROM p GROUP BY 1, 2) v LEFT JOIN b USING (ticker, benchmark)""",
-        "ct_ic",
+        f"SELECT 'full' AS \"window\", * FROM ({ct_verdict_sql('cf_ic', 100)}) UNION ALL SELECT 'recent', * FROM ({ct_verdict_sql('ct_ic', 30)})", "ct_ic", "cf_ic"
     ),
 )
 def _(spark, d):
-    v = catalyst(spark, d)[1]
-    return v.select("ticker", "benchmark", "verdict", "best_signal", r8("best_ic").alias("best_ic"))
+    v = ct_windows(spark, d)[1]
+    return v.select("window", "ticker", "benchmark", "verdict", "best_signal", r8("best_ic").alias("best_ic"))
 
 
 # ---- large members ------------------------------------------------------------------

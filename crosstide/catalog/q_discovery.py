@@ -210,6 +210,25 @@ def _(spark, d):
     return dc.resolve_placeholders(hidden, res_cache(spark, d)).select("ticker", "accession_number", "name", "pct", "parent", "resolved_by")
 
 
+@query(
+    "stored_resolutions",
+    "D-05 S-02",
+    with_parts(
+        """WITH found AS (SELECT DISTINCT ticker, accession_number, name AS placeholder, parent AS resolved_parent, resolved_by FROM resolved WHERE resolved_by = 'regex')
+SELECT ticker, accession_number, placeholder, resolved_parent, resolved_by FROM res_cache c ANTI JOIN found USING (ticker, accession_number, placeholder)
+UNION ALL SELECT ticker, accession_number, placeholder, resolved_parent, resolved_by FROM found""",
+        "resolved",
+        "res_cache",
+    ),
+)
+def _(spark, d):
+    h = dc.extract_hits(docs(spark, d))
+    hidden = h.filter(dc.match_alias(F.col("name")).isNull() & dc.is_placeholder(F.col("name")))
+    cache = res_cache(spark, d)
+    stored = dc.with_resolutions(cache, dc.resolve_placeholders(hidden, cache))
+    return stored.select("ticker", "accession_number", "placeholder", "resolved_parent", "resolved_by")
+
+
 part(
     "conc",
     f"""

@@ -151,10 +151,10 @@ def sufficiency(n: Column) -> Column:
     return F.when(n >= 100, "OK").when(n >= 50, "MARGINAL").otherwise("INSUFFICIENT")
 
 
-def passes_at_any(wide: DataFrame, keys: Sequence[str], horizons: Sequence[int] = (10, 20), min_n: int = 30) -> DataFrame:
+def passes_at_any(wide: DataFrame, keys: Sequence[str], horizons: Sequence[int] = (10, 20), min_n: int | Column = 30) -> DataFrame:
     """True when any of ``horizons`` has IC above 0.05 with both halves positive.
 
-    ``wide`` has one row per key and horizon with n_obs, ic, ic_h1, ic_h2.
+    ``wide`` has one row per key and horizon with n_obs, ic, ic_h1, ic_h2. ``min_n`` may be one of ``keys``.
     """
     good = (F.col("ic") > 0.05) & (F.col("ic_h1") > 0) & (F.col("ic_h2") > 0) & F.col("horizon").isin(*horizons)
     return wide.groupBy(*keys).agg(
@@ -703,7 +703,7 @@ def pair_obs(
     return rows
 
 
-def _per_series(rows: DataFrame, keys: Sequence[str], horizons: Sequence[int], min_obs: int) -> DataFrame:
+def _per_series(rows: DataFrame, keys: Sequence[str], horizons: Sequence[int], min_obs: int | Column) -> DataFrame:
     """ICs of one series' observations, halves by row position; series below ``min_obs`` keep NULL ICs.
 
     A group is one series, bounded by the calendar, so its size travels with its rows.
@@ -733,31 +733,50 @@ def theme_backtest(bars: DataFrame, themes: DataFrame, min_obs: int = 30) -> Eva
     )
 
 
+#: Windows of the catalyst evaluation: name, first date (None = all history), fewest observations.
+CATALYST_WINDOWS = (("full", None, 100), ("recent", "2024-01-01", 30))
+
+
 def catalyst_backtest(
     bars: DataFrame, pairs: DataFrame, broad: str, start: str | None = None, min_obs: int = 30
 ) -> tuple[DataFrame, DataFrame]:
-    """Three signals per ticker: relative volume, strength vs a broad and vs its own benchmark.
+    """``catalyst_windows`` of the one window from ``start``, without its name."""
+    per, verdicts = catalyst_windows(bars, pairs, broad, [("window", start, min_obs)])
+    return per.drop("window"), verdicts.drop("window")
+
+
+def catalyst_windows(
+    bars: DataFrame, pairs: DataFrame, broad: str, windows: Sequence[tuple[str, str | None, int]] = CATALYST_WINDOWS
+) -> tuple[DataFrame, DataFrame]:
+    """Three signals per ticker and window: relative volume, strength vs a broad and vs its own benchmark.
 
-    Returns ICs per (ticker, benchmark, signal, horizon) and one verdict row per ticker with its best signal.
-    The last 20 dates of the window are left out.
+    Returns ICs per (window, ticker, benchmark, signal, horizon) and one verdict row per (window, ticker)
+    with its best signal. The last 20 dates of a window are left out. A row counts in every window
+    that it lies in, so the features and both benchmarks are looked up once.
     """
     feats = bars.select(
         "ticker", "date", ft.ret(20).alias("r"), ft.rvol(20, "strict").alias("rvol"),
         *[ft.forward_return(h).alias(f"_f{h}") for h in HORIZONS],
     )
-    own = feats.join(pairs.select("ticker", "benchmark").distinct(), "ticker")
-    if start:
-        own = own.filter(F.col("date") >= F.lit(start).cast("date"))
-    series = Window.partitionBy("ticker", "benchmark")
+    own = feats.join(pairs.select("ticker", "benchmark").distinct(), "ticker").withColumn("broad", F.lit(broad))
+    if all(start for _, start, _ in windows):
+        own = own.filter(F.col("date") >= F.lit(min(start for _, start, _ in windows)).cast("date"))
+    bench = feats.select(F.col("ticker").alias("benchmark"), "date", F.col("r").alias("b"))
+    wide = feats.filter(F.col("ticker") == broad).select(F.col("ticker").alias("broad"), "date", F.col("r").alias("x"))
+    own = asof_join(asof_join(own, bench, ["benchmark"], "date", ["b"]), wide, ["broad"], "date", ["x"])
+    inside = F.array(
+        *[
+            F.when(F.col("date") >= F.lit(start).cast("date") if start else F.lit(True), F.struct(F.lit(name).alias("window"), F.lit(n).alias("min_obs")))
+            for name, start, n in windows
+        ]
+    )
+    own = own.withColumn("_w", F.explode(F.filter(inside, lambda w: w.isNotNull()))).select("*", "_w.window", "_w.min_obs")
+    series = Window.partitionBy("window", "ticker", "benchmark")
     own = (
         own.withColumn("_pos", F.row_number().over(series.orderBy("date")))
         .withColumn("_len", F.count(F.lit(1)).over(series))
         .filter(F.col("_pos") <= F.col("_len") - 20)
-        .withColumn("broad", F.lit(broad))
     )
-    bench = feats.select(F.col("ticker").alias("benchmark"), "date", F.col("r").alias("b"))
-    wide = feats.filter(F.col("ticker") == broad).select(F.col("ticker").alias("broad"), "date", F.col("r").alias("x"))
-    own = asof_join(asof_join(own, bench, ["benchmark"], "date", ["b"]), wide, ["broad"], "date", ["x"])
     items = F.array(
         F.struct(F.lit("rvol").alias("signal"), F.col("rvol").alias("score")),
         F.struct(F.lit("rs_vs_broad").alias("signal"), (F.col("r") - F.col("x")).alias("score")),
@@ -765,19 +784,19 @@ def catalyst_backtest(
     )
     some = F.coalesce(*[F.col(f"_f{h}") for h in HORIZONS]).isNotNull()
     rows = own.filter(some).withColumn("_s", F.explode(items)).select(
-        "ticker", "benchmark", "date", *[f"_f{h}" for h in HORIZONS], "_s.signal", "_s.score"
+        "window", "min_obs", "ticker", "benchmark", "date", *[f"_f{h}" for h in HORIZONS], "_s.signal", "_s.score"
     ).filter(F.col("score").isNotNull())
-    keys = ["ticker", "benchmark", "signal"]
-    per = _per_series(rows, keys, HORIZONS, min_obs)
-    passed = passes_at_any(per, keys, min_n=min_obs)
+    per = _per_series(rows, ["window", "min_obs", "ticker", "benchmark", "signal"], HORIZONS, F.col("min_obs"))
+    keys = ["window", "min_obs", "ticker", "benchmark"]
+    passed = passes_at_any(per, [*keys, "signal"], min_n=F.col("min_obs"))
     at = F.col("horizon").isin(10, 20) & F.col("ic").isNotNull()
-    best = per.filter(at).groupBy("ticker", "benchmark").agg(
+    best = per.filter(at).groupBy(*keys).agg(
         F.max_by("signal", F.struct("ic", "signal")).alias("best_signal"), F.max("ic").alias("best_ic")
     )
-    verdict = passed.groupBy("ticker", "benchmark").agg(
-        F.when(F.max("n_obs") < min_obs, "INSUFFICIENT DATA").when(F.bool_or("passes"), "ACTIVATE").otherwise("WATCH").alias("verdict")
+    verdict = passed.groupBy(*keys).agg(
+        F.when(F.max("n_obs") < F.col("min_obs"), "INSUFFICIENT DATA").when(F.bool_or("passes"), "ACTIVATE").otherwise("WATCH").alias("verdict")
     )
-    return per, verdict.join(best, ["ticker", "benchmark"], "left")
+    return per.drop("min_obs"), verdict.join(best, keys, "left").drop("min_obs")
 
 
 # ---- large members ------------------------------------------------------------------

@@ -245,6 +245,18 @@ def resolve_placeholders(
     )
 
 
+def with_resolutions(cache: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The cache with what context clues have resolved, one row per (ticker, accession_number, placeholder).
+
+    A stored row without a resolution is replaced. What stays unresolved is not stored, so it is
+    tried again; the other stored rows are kept as they are.
+    """
+    found = resolved.filter(F.col("resolved_by") == "regex").select(
+        "ticker", "accession_number", F.col("name").alias("placeholder"), F.col("parent").alias("resolved_parent"), "confidence", "resolved_by"
+    )
+    return upsert(cache, found, ["ticker", "accession_number", "placeholder"])
+
+
 def concentrations(
     docs: DataFrame,
     cache: DataFrame,

@@ -76,6 +76,21 @@ def test_cached_resolution_wins(spark):
     assert resolve(spark, text, [("T", "1", "Customer A", None, 0.0, "unresolved")]) == [("NVDA", 40.0, "regex")]
 
 
+def test_second_run_resolves_from_the_stored_rows(spark):
+    text = "Customer A accounted for 40% of revenue. It runs CUDA on every GPU."
+    dull = "Customer B accounted for 30% of revenue. It runs well."
+    docs = spark.createDataFrame([("T", "1", text, ""), ("U", "2", dull, "")], "ticker string, accession_number string, business string, risk_factors string")
+    hits = dc.extract_hits(docs)
+    old = [("T", "1", "Customer A", None, 0.0, "unresolved"), ("U", "2", "Customer B", None, 0.0, "unresolved"), ("V", "3", "Customer C", "AAPL", 0.9, "model")]
+    cache = spark.createDataFrame(old, NO_CACHE)
+    stored = dc.with_resolutions(cache, dc.resolve_placeholders(hits, cache))
+    rows = sorted(tuple(r) for r in stored.select(*cache.columns).collect())
+    assert rows == [("T", "1", "Customer A", "NVDA", 0.85, "regex"), *old[1:]]
+    # no clue is left to find, so what is resolved comes from the stored rows
+    again = dc.resolve_placeholders(hits, spark.createDataFrame(rows, NO_CACHE), {"NVDA": ["no such words"]})
+    assert {r["name"]: (r["parent"], r["resolved_by"]) for r in again.collect()} == {"Customer A": ("NVDA", "regex"), "Customer B": (None, "unresolved")}
+
+
 def test_first_hit_per_parent(spark):
     text = "Apple accounted for 30% of revenue. Apple Inc represented 50% of net revenue. | x |\n| Apple | 11 % |"
     assert resolve(spark, text) == [("AAPL", 11.0, "explicit")]
