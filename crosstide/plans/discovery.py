@@ -12,6 +12,8 @@ from crosstide.sources.tables import insert_ignore, new_rows, upsert
 
 # ---- fixed values: patterns, names, clues and limits that decide results --------------
 
+# a name of up to 60 characters before the words that tell
+NAME_BEFORE = r"(.{3,60}?)\s+"
 # name first, percentage second, except where marked
 CONCENTRATION_PATTERNS = (
     (r"(.{3,60}?)\s+accounted\s+for\s+(?:approximately\s+)?(\d+(?:\.\d+)?)\s*%\s+of\s+(?:our\s+)?(?:total\s+)?(?:net\s+)?revenue", 1, 2),
@@ -34,7 +36,7 @@ PLACEHOLDER_PATTERNS = (
 )
 SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 # white space and line ends are those of Unicode: filings are full of no-break spaces and form feeds
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"  # besides \n; \r\n is one
 
 PARENT_ALIASES = {
     "NVDA": ["NVIDIA", "NVIDIA Corporation", "NVIDIA Corp"],
@@ -84,25 +86,48 @@ PROMOTED_WEIGHT = 0.3
 
 
 def _group(text: Column, pattern: str, k: int) -> Column:
-    return F.nullif(F.regexp_extract(text, "(?iU)" + pattern, k), F.lit(""))
+    """Group of the first match, NULL without one; no group of a match is empty.
+
+    A match takes in the rest of the text, so there is at most one. A pattern that starts with a name would try every
+    length of it at every place of the text, so the words after the name, which any match contains, are looked for first.
+    """
+    found = F.get(F.regexp_extract_all(text, F.lit(f"(?iU){pattern}(?s:.*+)"), F.lit(k)), F.lit(0))
+    if pattern.startswith(NAME_BEFORE):
+        return F.when(text.rlike("(?iU)" + pattern.removeprefix(NAME_BEFORE)), found)
+    return found
+
+
+def _clean(name: Column) -> Column:
+    return F.trim(F.regexp_replace(name, r"(?U)\s+", " "))
+
+
+def _lines(text: Column) -> Column:
+    """Lines of a text; a split at one plain character needs no pattern, which Spark would compile for every row."""
+    return F.split(F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS)), "\n")
+
+
+def _hits(number: int, texts: Column, possible, patterns) -> Column:
+    """Array of (pass, position, name, pct) of the texts with a match; the first pattern that matches counts."""
+
+    def named(t, i):
+        name = F.when(possible(t), F.coalesce(*[_group(t, p, n) for p, n, _ in patterns]))
+        return F.struct(i.alias("position"), t.alias("text"), name.alias("name"))
+
+    def hit(h):
+        pct = F.coalesce(*[_group(h["text"], p, k) for p, _, k in patterns]).try_cast("double")
+        return F.struct(F.lit(number).alias("pass"), h["position"].alias("position"), _clean(h["name"]).alias("name"), pct.alias("pct"))
+
+    return F.transform(F.filter(F.transform(texts, named), lambda h: h["name"].isNotNull()), hit)
 
 
 def table_rows(text: Column) -> Column:
     """Hits of pipe-delimited rows: array of (pass, position, name, pct).
 
-    Lines without a bar and a percent sign cannot match and skip the pattern.
+    Texts and lines without a bar and a percent sign cannot match and skip the pattern.
     """
-
-    def hit(line, i):
-        possible = line.contains("|") & line.contains("%")
-        return F.struct(
-            F.lit(1).alias("pass"),
-            i.alias("position"),
-            F.when(possible, _group(line, TABLE_ROW_PATTERN, 1)).alias("name"),
-            F.when(possible, _group(line, TABLE_ROW_PATTERN, 2)).try_cast("double").alias("pct"),
-        )
-
-    return F.transform(F.split(text, LINE_END), hit)
+    possible = lambda t: t.contains("|") & t.contains("%")
+    lines = F.when(possible(text), _lines(text)).otherwise(F.array().cast("array<string>"))
+    return _hits(1, lines, possible, [(TABLE_ROW_PATTERN, 1, 2)])
 
 
 def sentence_hits(sentences: Column) -> Column:
@@ -110,17 +135,7 @@ def sentence_hits(sentences: Column) -> Column:
 
     Every pattern needs a percent sign, so other sentences skip them all.
     """
-
-    def hit(s, i):
-        possible = s.contains("%")
-        return F.struct(
-            F.lit(2).alias("pass"),
-            i.alias("position"),
-            F.when(possible, F.coalesce(*[_group(s, p, n) for p, n, _ in CONCENTRATION_PATTERNS])).alias("name"),
-            F.when(possible, F.coalesce(*[_group(s, p, k) for p, _, k in CONCENTRATION_PATTERNS])).try_cast("double").alias("pct"),
-        )
-
-    return F.transform(sentences, hit)
+    return _hits(2, sentences, lambda t: t.contains("%"), CONCENTRATION_PATTERNS)
 
 
 def split_sentences(text: Column) -> Column:
@@ -131,14 +146,15 @@ def extract_hits(docs: DataFrame, min_pct: float = MIN_PCT) -> DataFrame:
     """Customer concentrations of each document, table rows first.
 
     ``docs`` has ticker, accession_number, business and risk_factors. Everything is
-    found inside the document's own row, so no text is shuffled; only hits are exploded.
+    found inside the document's own row, so no text is shuffled; only hits are exploded. Names are cleaned before
+    that, as a filter on a name would repeat the cleaning in each of its tests.
     ``sentences`` stays next to a hit for resolving placeholders.
     """
     sections = F.concat_ws("\n\n", F.nullif("business", F.lit("")), F.nullif("risk_factors", F.lit("")))
     staged = docs.select("ticker", "accession_number", sections.alias("_text"), _all_text().alias("_all"))
     hits = F.filter(
         F.concat(table_rows(F.col("_text")), sentence_hits(split_sentences(F.col("_text")))),
-        lambda h: h["name"].isNotNull() & (h["pct"] >= min_pct),
+        lambda h: h["pct"] >= min_pct,
     )
     rows = staged.withColumn("_h", F.explode(hits))
     return rows.select(
@@ -146,7 +162,7 @@ def extract_hits(docs: DataFrame, min_pct: float = MIN_PCT) -> DataFrame:
         "accession_number",
         F.col("_h.pass").alias("pass"),
         F.col("_h.position").alias("position"),
-        F.trim(F.regexp_replace("_h.name", r"(?U)\s+", " ")).alias("name"),
+        F.col("_h.name").alias("name"),
         F.col("_h.pct").alias("pct"),
         split_sentences(F.col("_all")).alias("sentences"),
     )

@@ -143,3 +143,29 @@ def test_trend_excludes_by_value(spark):
     r = dc.accum_trend(df).first()
     # newest five are 1 1 1 1 9, so every 9 is excluded from the earlier ones
     assert r["last5"] == pytest.approx(2.6) and r["prior5"] is None and r["trend"] == "→"
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_ends_and_positions(spark):
+    ends = ["\r\n", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    df = dc.extract_hits(spark.createDataFrame([("T", "1", "".join(f"|  Name {i} | {i + 10}% |{e}" for i, e in enumerate(ends)), "")], DOC))
+    rows = [(r["position"], r["name"], r["pct"]) for r in df.filter("pass = 1").orderBy("position").collect()]
+    assert rows == [(i, f"Name {i}", i + 10.0) for i in range(len(ends))]
+
+
+def test_name_patterns_first_look_for_their_words(spark):
+    plan = optimized(dc.extract_hits(spark.createDataFrame([("T", "1", "x", "")], DOC)))
+    for word in ("accounted", "represented", "was"):
+        # names and shares are read where the words after a name are
+        assert plan.count(f", (?iU){word}\\s+") == plan.count(f"(.{{3,60}}?)\\s+{word}\\s+") == 2, plan
+    text = "x" * 200 + " 5% ACCOUNTED for 3 parts. In 9 accounted for 8% of it, Apple  Inc Accounted for 30% of Revenue. accounted for 20% of revenue."
+    assert hits(spark, text) == [(2, "In 9 accounted for 8% of it, Apple Inc", 30.0)]
+
+
+def test_a_filter_on_names_does_not_repeat_their_cleaning(spark):
+    h = dc.extract_hits(spark.createDataFrame([("T", "1", "x", "")], DOC))
+    plan = optimized(h.filter(dc.match_alias(F.col("name")).isNull() & dc.is_placeholder(F.col("name"))))
+    assert plan.count("regexp_replace") == 2, plan
