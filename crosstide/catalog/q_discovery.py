@@ -142,10 +142,8 @@ _HOLDER = " OR ".join(f"regexp_matches(trim(name), '{p}', 'i')" for p in dc.PLAC
     with_parts(f"SELECT name, {_alias_sql('name')} AS parent, {_HOLDER} AS placeholder, count(*) AS n FROM hits GROUP BY 1, 2, 3", "hits"),
 )
 def _(spark, d):
-    h = dc.extract_hits(docs(spark, d))
-    return h.groupBy("name", dc.match_alias(F.col("name")).alias("parent"), dc.is_placeholder(F.col("name")).alias("placeholder")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    names = dc.extract_hits(docs(spark, d)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return names.select("name", dc.match_alias(F.col("name")).alias("parent"), dc.is_placeholder(F.col("name")).alias("placeholder"), "n")
 
 
 # stored resolutions: some filings of urgent orders were resolved before, some without result

@@ -169,3 +169,11 @@ def test_a_filter_on_names_does_not_repeat_their_cleaning(spark):
     h = dc.extract_hits(spark.createDataFrame([("T", "1", "x", "")], DOC))
     plan = optimized(h.filter(dc.match_alias(F.col("name")).isNull() & dc.is_placeholder(F.col("name"))))
     assert plan.count("regexp_replace") == 2, plan
+
+
+def test_names_are_grouped_before_they_are_matched(spark):
+    from crosstide.catalog import ENTRIES
+
+    plan = ENTRIES["matched_names"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    keys = next(line for line in plan.splitlines() if "Aggregate [" in line)
+    assert "nvidia" not in keys.split("], [")[0], keys
