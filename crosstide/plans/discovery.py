@@ -148,7 +148,7 @@ def extract_hits(docs: DataFrame, min_pct: float = MIN_PCT) -> DataFrame:
     ``docs`` has ticker, accession_number, business and risk_factors. Everything is
     found inside the document's own row, so no text is shuffled; only hits are exploded. Names are cleaned before
     that, as a filter on a name would repeat the cleaning in each of its tests.
-    ``sentences`` stays next to a hit for resolving placeholders.
+    ``text`` stays next to a hit for resolving placeholders.
     """
     sections = F.concat_ws("\n\n", F.nullif("business", F.lit("")), F.nullif("risk_factors", F.lit("")))
     staged = docs.select("ticker", "accession_number", sections.alias("_text"), _all_text().alias("_all"))
@@ -164,7 +164,7 @@ def extract_hits(docs: DataFrame, min_pct: float = MIN_PCT) -> DataFrame:
         F.col("_h.position").alias("position"),
         F.col("_h.name").alias("name"),
         F.col("_h.pct").alias("pct"),
-        split_sentences(F.col("_all")).alias("sentences"),
+        F.col("_all").alias("text"),
     )
 
 
@@ -173,15 +173,21 @@ def _all_text() -> Column:
 
 
 def match_alias(name: Column, aliases: Mapping[str, Sequence[str]] = PARENT_ALIASES) -> Column:
-    """First parent, in dictionary order, with an alias inside the name or the name inside an alias."""
-    low = F.lower(F.trim(name))
-    out = F.lit(None).cast("string")
-    for parent, words in reversed(list(aliases.items())):
-        near = F.lit(False)
-        for w in words:
-            near = near | low.contains(w.lower()) | F.contains(F.lit(w.lower()), low)
-        out = F.when(near, parent).otherwise(out)
-    return out
+    """First parent, in dictionary order, with an alias inside the name or the name inside an alias.
+
+    The lower-case name is bound once for all tests.
+    """
+
+    def parent_of(low):
+        out = F.lit(None).cast("string")
+        for parent, words in reversed(list(aliases.items())):
+            near = F.lit(False)
+            for w in words:
+                near = near | low.contains(w.lower()) | F.contains(F.lit(w.lower()), low)
+            out = F.when(near, parent).otherwise(out)
+        return out
+
+    return F.get(F.transform(F.array(F.lower(F.trim(name))), parent_of), F.lit(0))
 
 
 def is_placeholder(name: Column) -> Column:
@@ -236,8 +242,9 @@ def resolve_placeholders(
         F.struct("resolved_parent", "confidence", "resolved_by").alias("_c"),
     )
     explicit = F.col("parent").isNotNull()
-    rows = hits.withColumn("_w", F.when(~explicit, clue_window(F.col("sentences"), F.col("name"))))
-    rows = rows.withColumn("_p", clue_parent(F.col("_w"), clues)).drop("sentences", "_w")
+    rows = hits.withColumn("_s", F.when(~explicit, split_sentences(F.col("text"))))
+    rows = rows.withColumn("_w", clue_window(F.col("_s"), F.col("name")))
+    rows = rows.withColumn("_p", clue_parent(F.col("_w"), clues)).drop("text", "_s", "_w")
     rows = rows.join(known, ["ticker", "accession_number", "name"], "left")
     stored, clued = F.col("_c").isNotNull(), F.col("_p").isNotNull()
     return rows.select(

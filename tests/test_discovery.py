@@ -177,3 +177,13 @@ def test_names_are_grouped_before_they_are_matched(spark):
     plan = ENTRIES["matched_names"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     keys = next(line for line in plan.splitlines() if "Aggregate [" in line)
     assert "nvidia" not in keys.split("], [")[0], keys
+
+
+def test_names_are_bound_once_and_split_texts_only_for_placeholders(spark):
+    h = dc.extract_hits(spark.createDataFrame([("T", "1", "x", "")], DOC))
+    plan = optimized(h.select(dc.match_alias(F.col("name")).alias("p")))
+    assert plan.count("lower(") == 1, plan
+    matched = h.withColumn("parent", dc.match_alias(F.col("name")))
+    plan = optimized(dc.resolve_placeholders(matched, spark.createDataFrame([], NO_CACHE)).select("parent", "resolved_by"))
+    split = [line for line in plan.splitlines() if "split(text" in line or "split(_all" in line]
+    assert split and all("CASE WHEN isnull(parent" in line for line in split), plan
