@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosstide.operators.ranking import top_n
+from crosstide.session import reliable_checkpoint
 from crosstide.sources.tables import insert_ignore, new_rows, upsert
 
 # ---- fixed values: patterns, names, clues and limits that decide results --------------
@@ -272,12 +273,13 @@ def with_resolutions(cache: DataFrame, resolved: DataFrame) -> DataFrame:
     """The cache with what context clues have resolved, one row per (ticker, accession_number, placeholder).
 
     A stored row without a resolution is replaced. What stays unresolved is not stored, so it is
-    tried again; the other stored rows are kept as they are.
+    tried again; the other stored rows are kept as they are. What is found is kept in the checkpoint
+    folder, as the upsert reads it twice and the texts should be read once.
     """
     found = resolved.filter(F.col("resolved_by") == "regex").select(
         "ticker", "accession_number", F.col("name").alias("placeholder"), F.col("parent").alias("resolved_parent"), "confidence", "resolved_by"
     )
-    return upsert(cache, found, ["ticker", "accession_number", "placeholder"])
+    return upsert(cache, reliable_checkpoint(found), ["ticker", "accession_number", "placeholder"])
 
 
 def concentrations(
@@ -357,7 +359,10 @@ def exclusions(
 
 
 def insert_candidates(hits: DataFrame, candidates: DataFrame, as_of) -> DataFrame:
-    """Candidates with the new hits: STRONG from 20 %, else MEDIUM, all ACCUMULATING."""
+    """Candidates with the new hits: STRONG from 20 %, else MEDIUM, all ACCUMULATING.
+
+    The hits, one row per (ticker, parent), are kept in the checkpoint folder: the insert reads them twice.
+    """
     rows = hits.select(
         "ticker",
         "parent",
@@ -367,7 +372,7 @@ def insert_candidates(hits: DataFrame, candidates: DataFrame, as_of) -> DataFram
         F.lit(as_of).cast("date").alias("discovered_date"),
         F.lit("ACCUMULATING").alias("status"),
     )
-    return insert_ignore(candidates, rows, ["ticker", "parent"])
+    return insert_ignore(candidates, reliable_checkpoint(rows), ["ticker", "parent"])
 
 
 def constituent_universe(

@@ -187,3 +187,11 @@ def test_names_are_bound_once_and_split_texts_only_for_placeholders(spark):
     plan = optimized(dc.resolve_placeholders(matched, spark.createDataFrame([], NO_CACHE)).select("parent", "resolved_by"))
     split = [line for line in plan.splitlines() if "split(text" in line or "split(_all" in line]
     assert split and all("CASE WHEN isnull(parent" in line for line in split), plan
+
+
+def test_stored_rows_and_inserts_read_the_texts_once(spark):
+    from crosstide.catalog import ENTRIES
+
+    for name in ("stored_resolutions", "inserted_candidates"):
+        plan = optimized(ENTRIES[name].run(spark, "/root/testdata/sf0.001"))
+        assert plan.count("accounted") == 0, (name, plan)  # kept before, read from there
