@@ -20,12 +20,23 @@ _TRADE = (
     "postTransactionAmounts struct<sharesOwnedFollowingTransaction:struct<value:string>>"
 )
 _FOOTNOTE_ID = r"<footnoteId\s+id\s*=\s*[\"']([^\"']+)[\"']"
+_MAY_TRADE = r"[PS]\s*</(?i:transactionCode)"  # every purchase or sale has it, so other elements are not parsed
+_BARE_LESS = r"<(?![/A-Za-z_:\x{80}-\x{10FFFF}])"
 
 
 def _flag(c: Column) -> Column:
     return F.coalesce(F.trim(c).isin("1", "true", "True"), F.lit(False))
 
 
+def _computed(df: DataFrame, keep: Column) -> DataFrame:
+    """The rows where ``keep`` holds, all columns as results of an explode.
+
+    Spark copies a plain filter, and later filters too, below the projections that
+    compute their columns, and so parses and searches every row again for each mention.
+    """
+    return df.select(F.inline(F.when(keep, F.array(F.struct(*df.columns)))))
+
+
 def explode_form4(filings: DataFrame) -> DataFrame:
     """One row per purchase or sale of the non-derivative table, footnotes resolved.
 
@@ -35,24 +46,23 @@ def explode_form4(filings: DataFrame) -> DataFrame:
     """
     doc = filings.withColumn("_d", F.from_xml("xml", _DOCUMENT))
     owner = F.get("_d.reportingOwner", F.lit(0))
-    # no branch on the flag: a missing table explodes to nothing
-    rows = doc.select(
-        "accession_number",
-        "ticker",
-        "filed_date",
-        "filing_url",
+    filed = ["accession_number", "ticker", "filed_date", "filing_url"]
+    doc = doc.select(
+        *filed,
         F.trim(owner["reportingOwnerId"]["rptOwnerName"]).alias("insider_name"),
         F.trim(owner["reportingOwnerRelationship"]["officerTitle"]).alias("insider_title"),
         _flag(owner["reportingOwnerRelationship"]["isOfficer"]).alias("is_officer"),
         _flag(owner["reportingOwnerRelationship"]["isDirector"]).alias("is_director"),
         _flag(owner["reportingOwnerRelationship"]["isTenPercentOwner"]).alias("is_ten_percent_owner"),
         F.col("_d.footnotes.footnote").alias("_notes"),
-        F.posexplode("_d.nonDerivativeTable.nonDerivativeTransaction").alias("transaction_seq", "_xml"),
-    )
-    # the element comes back as its inner text: wrap it to parse it as a document of its own
-    wrapped = F.when(F.col("_xml").startswith("<nonDerivativeTransaction"), F.col("_xml")).otherwise(
-        F.concat(F.lit("<t>"), F.col("_xml"), F.lit("</t>"))
+        F.col("_d.nonDerivativeTable.nonDerivativeTransaction").alias("_all"),
     )
+    # a missing table explodes to nothing; exploding the bare column would add a filter on it, which parses the document again
+    rows = doc.select(*[c for c in doc.columns if c != "_all"], F.posexplode(F.coalesce("_all", F.array())).alias("transaction_seq", "_xml"))
+    rows = rows.filter(F.col("_xml").rlike(_MAY_TRADE))
+    # the element comes back as its inner text without escapes: put them back and wrap it to parse it as a document of its own
+    inner = F.regexp_replace(F.replace(F.col("_xml"), F.lit("&"), F.lit("&amp;")), _BARE_LESS, "&lt;")
+    wrapped = F.when(F.col("_xml").startswith("<nonDerivativeTransaction"), inner).otherwise(F.concat(F.lit("<t>"), inner, F.lit("</t>")))
     ids = F.regexp_extract_all("_xml", F.lit(_FOOTNOTE_ID), F.lit(1))
     note = lambda i: F.coalesce(
         F.get(F.transform(F.filter("_notes", lambda n: n["_id"] == i), lambda n: F.trim(n["_VALUE"])), F.lit(0)), F.lit("")
@@ -61,7 +71,7 @@ def explode_form4(filings: DataFrame) -> DataFrame:
     t = rows.withColumn("_t", F.from_xml(wrapped, _TRADE)).withColumn("footnote_text", F.nullif(text, F.lit("")))
     shares = parse_num(F.trim("_t.transactionAmounts.transactionShares.value"))
     price = parse_num(F.trim("_t.transactionAmounts.transactionPricePerShare.value"))
-    return t.select(
+    t = t.select(
         "accession_number",
         "transaction_seq",
         "ticker",
@@ -79,7 +89,8 @@ def explode_form4(filings: DataFrame) -> DataFrame:
         parse_num(F.trim("_t.postTransactionAmounts.sharesOwnedFollowingTransaction.value")).alias("shares_owned_after"),
         "footnote_text",
         "filing_url",
-    ).filter(F.col("transaction_code").isin("P", "S"))
+    )
+    return _computed(t, F.col("transaction_code").isin("P", "S"))
 
 
 def parse_form4(filings: DataFrame) -> tuple[DataFrame, DataFrame]:
