@@ -482,7 +482,8 @@ part(
 
 
 def aligned(spark, d):
-    allb = inp.series(spark, d, "member", "region", "market")
+    # one row per series and day, read by every step of the alignment: the lines are read once
+    allb = reliable_checkpoint(inp.series(spark, d, "member", "region", "market"))
     members = allb.filter(F.col("ticker").contains("-")).select("ticker").distinct()
     return sg.align_ffill(allb, members, [inp.MARKET, inp.FOCUS_SECTOR])
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.operators.ranking import average_rank, ordinal_rank
+from crosstide.session import reliable_checkpoint
 
 
 def guarded_corr(x: Column, y: Column) -> Column:
@@ -34,6 +35,9 @@ def spearman(
     """
     keys = list(keys)
     clean = obs.filter(F.col(score).isNotNull() & F.col(fwd).isNotNull())
+    if pooled and rank == "average":
+        # both rankings and their joins read the pairs: they are derived once
+        clean = reliable_checkpoint(clean.select(*keys, score, fwd))
     if rank == "average":
         ranked = average_rank(clean, keys, score, "_rx", pooled)
         ranked = average_rank(ranked, keys, fwd, "_ry", pooled)

@@ -65,6 +65,22 @@ def test_two_rank_variants_differ_on_ties(spark):
     assert average == pytest.approx(7.5 / 90**0.5)
 
 
+def test_pooled_ic_derives_its_pairs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [("k", float(i % 7), float(i * 5 % 11), day(i), f"t{i}") for i in range(40)] + [("k", None, 1.0, day(50), "t50")]
+    obs = spark.createDataFrame(rows, "k string, score double, fwd double, date date, ticker string")
+    got = icm.spearman(obs.mapInArrow(counted, obs.schema), ["k"], pooled=True).collect()
+    assert read.value == len(rows)
+    want = icm.spearman(obs, ["k"]).collect()
+    assert [(r["k"], r["n"]) for r in got] == [("k", 40)] and got[0]["ic"] == pytest.approx(want[0]["ic"])
+
+
 def test_small_or_constant_groups_have_no_ic(spark):
     assert spearman_of(spark, [(1, 1), (2, 2)], rank="ordinal", min_n=3)["ic"] is None
     assert spearman_of(spark, [(1, i) for i in range(6)], rank="average", min_n=5)["ic"] is None

@@ -76,6 +76,14 @@ def test_walk_forward_plans_scan_few_tables(spark, name):
     assert plan.count("Relation [") <= 10, plan
 
 
+@pytest.mark.parametrize("name", ["aligned_members", "composite_backtest_daily", "composite_backtest_ingredients"])
+def test_plans_on_aligned_members_scan_no_table_again(spark, name):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    plan = ENTRIES[name].run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 0, plan
+
+
 def test_step_reads_a_tail_and_late_bars_reopen_their_dates(spark):
     from crosstide.plans.signals import accumulate_rs
     from crosstide.streaming import accumulate as ac
